@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, decontam, media, mixture, simhash, urls
+from tidemark.llm import chat, decontam, langid, media, mixture, quality, simhash, urls
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -15,6 +15,16 @@ def op1_mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixture.mix(_table(spark, d, "documents"))
 
 
+def op2_language(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return langid.predict(docs, langid.learn(langid.training_rows(docs))).drop("spans")
+
+
+def op3_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents")
+    return quality.predict(docs, quality.learn(docs, _table(spark, d, "labels")))
+
+
 def op4_decontamination(spark: SparkSession, d: str) -> DataFrame:
     return decontam.digests(decontam.find(_table(spark, d, "documents"), _table(spark, d, "benchmark")))
 
@@ -78,6 +88,8 @@ SELECT conv_id, n AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS
 
 QUERIES = {
     "op1_mixture": (op1_mixture, None),
+    "op2_language": (op2_language, None),
+    "op3_quality": (op3_quality, None),
     "op4_decontamination": (op4_decontamination, _OP4),
     "op5_media": (op5_media, None),
     "op6_url_filter": (op6_url_filter, _OP6),
