@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, decontam, langid, media, mixture, quality, simhash, urls
+from tidemark.llm import chat, decontam, langid, media, mixture, pii, quality, simhash, urls
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_chat(spark: SparkSession, d: str) -> DataFrame:
     return chat.digests(chat.format_chats(turns))
 
 
+def op10_pii(spark: SparkSession, d: str) -> DataFrame:
+    return pii.digests(pii.find(_table(spark, d, "documents")))
+
+
 _OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -95,4 +99,5 @@ QUERIES = {
     "op6_url_filter": (op6_url_filter, _OP6),
     "op8_simhash": (op8_simhash, None),
     "op9_chat": (op9_chat, _OP9),
+    "op10_pii": (op10_pii, None),
 }
