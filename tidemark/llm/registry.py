@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemark.llm import chat, decontam, langid, media, mixture, pii, quality, simhash, urls
+from tidemark.llm import chat, decontam, langid, media, mixture, pii, quality, simhash, suffix, urls
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return suffix.digests(suffix.dedup(_table(spark, d, "documents")))
+
+
 def op8_simhash(spark: SparkSession, d: str) -> DataFrame:
     return simhash.digests(simhash.near_duplicates(_table(spark, d, "documents")))
 
@@ -97,6 +101,7 @@ QUERIES = {
     "op4_decontamination": (op4_decontamination, _OP4),
     "op5_media": (op5_media, None),
     "op6_url_filter": (op6_url_filter, _OP6),
+    "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_simhash": (op8_simhash, None),
     "op9_chat": (op9_chat, _OP9),
     "op10_pii": (op10_pii, None),
