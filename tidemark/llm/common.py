@@ -60,3 +60,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id is the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)).cast("int")
+
+
+def kept_rows(docs: DataFrame, text: str, wanted, size: int = 4 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, for which ``wanted(list of texts as bytes)`` is true; no shuffle.
+
+    ``wanted`` is made on the executor by calling the given function without arguments.
+    """
+    at = [i for i, c in enumerate(docs.columns) if c.lower() == text.lower()][0]
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = wanted()
+        for part in slices(batches, f"c{at}", size):
+            raw, cut = text_bytes(part.column(at))
+            data = raw.tobytes()
+            keep = judge([data[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())])
+            yield part.filter(pa.array(np.asarray(keep, bool)))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

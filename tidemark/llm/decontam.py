@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import only, slices, text_bytes
+from tidemark.llm.common import kept_rows, only, slices, text_bytes
 
 #: Words are digits, letters and all bytes of other characters; A-Z are lower-cased, the rest of ASCII parts words.
 _FORM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -201,3 +201,20 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, without a hit."""
+    context, out = docs.sparkSession.sparkContext, docs
+    for block in blocks(benchmark, block_bytes):
+        sent = context.broadcast(Benchmark(block, window))
+
+        def free(sent=sent):
+            def judge(texts: list[bytes]) -> list[bool]:
+                hits = search(texts, sent.value)[1]
+                return [i not in hits for i in range(len(texts))]
+
+            return judge
+
+        out = kept_rows(out, "text", free)
+    return out

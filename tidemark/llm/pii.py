@@ -7,7 +7,8 @@ candidates; a bare digit run or opaque string is added if its score reaches its
 threshold, calibrated on the counts of all candidates for ``precision``; fold 0 has no part in the trees.
 
 There are no labelled spans, so learning is weakly supervised: a validator's outcome (parts, digit
-count, Luhn sum) labels numeric candidates and is no feature of theirs; a naming word before an opaque
+count, Luhn sum) labels numeric candidates and is no feature of theirs, but for bare digit runs, which
+have little else; a naming word before an opaque
 string labels it and is no feature of its own. Candidates are counted by cells of their discrete
 features in Spark; the cells, whose number the grid bounds, are all that the driver sees. Trees become
 column expressions.
@@ -46,7 +47,7 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 CONTEXT = 32
 SECRET_WORDS = r"(?i)(?:token|key|secret|passw|pwd|auth|bearer|credential)[A-Za-z_]{0,8}\W{0,6}$"
 PERSON_WORDS = r"(?i)(?:card|visa|account|iban|acct|tel|phone|mobile|fax|mail|ssn)\w{0,8}\W{0,6}$"
-FEATURES = ("kind", "size", "context", "assigned", "mixed", "hex")
+FEATURES = ("kind", "size", "context", "assigned", "mixed", "hex", "summed")
 
 _SPAN = "struct<start:bigint,end:bigint,value:string,before:string>"
 
@@ -110,17 +111,21 @@ def _judged(spans: Column, k: int) -> Column:
             before.rlike("[=:]\\s*[\"']?$").cast("int").alias("assigned"),
             (value.rlike("[0-9]") & value.rlike("[A-Za-z]")).cast("int").alias("mixed"),
             value.rlike("^[0-9a-fA-F]+$").cast("int").alias("hex"),
+            (luhn(digits).cast("int") if KINDS[k] == "number" else F.lit(0)).alias("summed"),
         )
 
     out = F.transform(spans, one)
     return F.filter(out, lambda s: s["end"] - s["start"] >= 7) if KINDS[k] == "card" else out
 
 
+def spans_of(text: Column) -> Column:
+    """All generators' candidates in ``text``, by kind and start."""
+    return F.concat(*(_judged(located(text, p, h), k) for k, (p, h) in enumerate(zip(PATTERNS, HINTS))))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans) of ``docs`` (doc_id, text): all generators' candidates, by kind and start."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    spans = F.concat(*(_judged(located(text, p, h), k) for k, (p, h) in enumerate(zip(PATTERNS, HINTS))))
-    return only(docs, doc_id="long", text="string").select("doc_id", spans.alias("spans"))
+    """(doc_id, spans) of ``docs`` (doc_id, text)."""
+    return only(docs, doc_id="long", text="string").select("doc_id", spans_of(F.coalesce("text", F.lit(""))).alias("spans"))
 
 
 Tree = tuple
@@ -199,11 +204,12 @@ def learn(found: DataFrame, precision: float = 0.8, rounds: int = 20) -> tuple[f
 
 def find(docs: DataFrame, precision: float = 0.8) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): spans, an array of (kind, start, end, base), by kind and start."""
-    return selected(found := written(candidates(docs), "candidates"), *learn(found, precision))
+    found = written(candidates(docs), "candidates")
+    return found.select("doc_id", chosen_spans(*learn(found, precision)).alias("spans"))
 
 
-def selected(found: DataFrame, base: float, trees: list[Tree], least: dict[int, float]) -> DataFrame:
-    """The spans of ``candidates`` that are base or reach their generator's threshold."""
+def chosen_spans(base: float, trees: list[Tree], least: dict[int, float]) -> Column:
+    """Of the column ``spans`` of candidates, those that are base or reach their generator's threshold."""
 
     def chosen(s: Column) -> Column:
         score = F.lit(float(base))
@@ -215,8 +221,7 @@ def selected(found: DataFrame, base: float, trees: list[Tree], least: dict[int,
         return ((s["kind"] < BASE) & s["valid"]) | added
 
     names = F.array(*map(F.lit, KINDS))
-    spans = F.transform(F.filter("spans", chosen), lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (s["kind"] < BASE).alias("base")))
-    return found.select("doc_id", spans.alias("spans"))
+    return F.transform(F.filter("spans", chosen), lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (s["kind"] < BASE).alias("base")))
 
 
 def redacted(text: Column, spans: Column) -> Column:
@@ -244,3 +249,21 @@ def digests(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.size(F.array_remove(F.transform(F.filter("spans", lambda s: s["base"]), lambda s: s["kind"] != kind), F.lit(True))).cast("long").alias(f"n_{kind}") for kind in KINDS[:BASE]]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def redact(docs: DataFrame, precision: float = 0.8) -> DataFrame:
+    """``docs`` (doc_id, text, and any other columns) with the selected spans of their texts replaced; ``n_chars`` follows if there.
+
+    The texts are searched twice, once to learn from all candidates and once to replace, so no text is shuffled.
+    """
+    base, trees, least = learn(written(candidates(docs), "candidates"), precision)
+    named = {c.lower(): i for i, c in reversed(list(enumerate(docs.columns)))}
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = f"c{named['text']}"
+    found = plain.withColumn("spans", spans_of(F.coalesce(F.col(text), F.lit(""))))
+    found = found.withColumn("spans", chosen_spans(base, trees, least))
+    out = found.withColumn(text, redacted(F.col(text), F.col("spans")))
+    if "n_chars" in named:
+        n = f"c{named['n_chars']}"
+        out = out.withColumn(n, F.when(F.size("spans") > 0, F.char_length(text)).otherwise(F.col(n)).cast(plain.schema[n].dataType))
+    return out.drop("spans").toDF(*docs.columns)

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import fold_of, only, slices, text_bytes
+from tidemark.llm.common import fold_of, kept_rows, only, slices, text_bytes
 
 WIDTH, STRIDE, FILTERS = 5, 256, 16
 
@@ -172,3 +172,9 @@ def predict(docs: DataFrame, net: Net, threshold: float = 0.3) -> DataFrame:
             yield pa.record_batch([part.column(0), part.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep(docs: DataFrame, net: Net, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``threshold`` or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+    return kept_rows(docs, "text", lambda: lambda texts: score(sent.value, texts) >= threshold)

@@ -58,6 +58,12 @@ def op10_pii(spark: SparkSession, d: str) -> DataFrame:
     return pii.digests(pii.find(_table(spark, d, "documents")))
 
 
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
 _OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -105,4 +111,5 @@ QUERIES = {
     "op8_simhash": (op8_simhash, None),
     "op9_chat": (op9_chat, _OP9),
     "op10_pii": (op10_pii, None),
+    "pipeline": (pipeline, None),
 }

@@ -205,3 +205,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> Dat
 def digests(found: DataFrame) -> DataFrame:
     """The registered query's columns from ``near_duplicates``."""
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of their component; rows without an id stay.
+
+    Ids are taken to be unique.
+    """
+    at = [i for i, c in enumerate(docs.columns) if c.lower() == "doc_id"][0]
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    gone = near_duplicates(docs, shingle, max_bits).where("doc_id <> component_id").select("doc_id").distinct()
+    return plain.join(gone, F.col(f"c{at}") == F.col("doc_id"), "left_anti").toDF(*docs.columns)
