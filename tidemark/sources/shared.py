@@ -11,6 +11,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of steps whose results are written: it follows the JVM's collector."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner drop shuffle files of steps whose results are written.
+
+    It follows the JVM's collector, which needs Python to have released its handles, and that happens in a thread of its own.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(1)
+        spark._jvm.System.gc()
