@@ -398,7 +398,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     let_go(spark)
 
     parts = by_unit(ranges, _RANGE, buckets).join(owners, ["owner", "twin"]).select(F.col("owner").alias("id"), "digest", "start", "end", F.lit(False).alias("whole"))
-    copies = slim.join(owners.select("digest", "owner"), "digest").where("id > owner").select("id", "digest").distinct()
+    copies = slim.distinct().join(owners.select("digest", "owner"), "digest").where("id > owner").select("id", "digest")
     none = F.lit(None).cast("binary")
     parts = parts.unionByName(copies.select("id", "digest", none.alias("start"), none.alias("end"), F.lit(True).alias("whole")))
 
