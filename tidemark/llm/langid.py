@@ -66,6 +66,8 @@ class Model:
 
     @staticmethod
     def _log(counts: np.ndarray) -> np.ndarray:
+        if not counts.shape[1]:
+            return counts.astype(np.float32)
         x = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * len(counts)))
         return (x - x.mean(1, keepdims=True)).astype(np.float32)
 
