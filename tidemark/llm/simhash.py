@@ -20,6 +20,7 @@ empty table gives no rows; texts of any length are hashed whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import only, slices, text_bytes
-from tidemark.sources.shared import written
+from tidemark.sources.shared import let_go, written
 
 
 def shingle_hashes(text: bytes, shingle: int) -> list[int]:
@@ -207,12 +208,212 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of their component; rows without an id stay.
+WORDS, RINGS, WIDTH = 4, 4, 16
 
-    Ids are taken to be unique.
+
+def bits_for(similarity: float, deviations: float) -> int:
+    """Differing bits of wide fingerprints that sets of this Jaccard similarity are expected to have, and so many standard deviations more."""
+    n = 64 * WORDS
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(n * p + deviations * math.sqrt(n * p * (1 - p)))
+
+
+def wide_fingerprints_of(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """For each text a row of WORDS 64-bit words, by majority of its different shingles, and how many those are."""
+    hashes = [set(shingle_hashes(t, shingle)) for t in texts]
+    n = np.array([len(h) for h in hashes], np.int64)
+    out = np.zeros((len(texts), WORDS), np.uint64)
+    some = np.flatnonzero(n)
+    if len(some):
+        flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(n.sum()))
+        starts = np.concatenate([[0], np.cumsum(n[some])[:-1]])
+        for j in range(WORDS):
+            x = flat * np.uint64(0x9E3779B97F4A7C15 + 2 * j)
+            x ^= x >> np.uint64(31)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(29)
+            bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
+            out[some, j] = np.packbits(ones * 2 > n[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out, n
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, fp, size) of ``docs`` (doc_id, text): the wide fingerprint's bytes and the number of different shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 2 << 20):
+            raw, at = text_bytes(part.column(1))
+            data = raw.tobytes()
+            fp, n = wide_fingerprints_of([data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], shingle)
+            yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(n.astype(np.int32))], ["doc_id", "fp", "size"])
+
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp binary, size int")
+
+
+def _wide(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, WORDS)
+
+
+def wide_slots(fp: np.ndarray) -> np.ndarray:
+    """The cells that each wide fingerprint enters: the segments of RINGS orders of its bits, with the segment's number above WIDTH bits."""
+    n, each = 64 * WORDS, 64 * WORDS // WIDTH
+    bits = np.unpackbits(np.ascontiguousarray(fp).view(np.uint8), axis=1, bitorder="little")
+    out = []
+    for r in range(RINGS):
+        order = np.random.default_rng(r).permutation(n) if r else np.arange(n)
+        packed = np.ascontiguousarray(np.packbits(bits[:, order], axis=1, bitorder="little"))
+        out.append(packed.view(np.uint16).astype(np.int64) + (np.arange(each) + r * each << WIDTH))
+    return np.hstack(out)
+
+
+def ring_linked(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+    """Whether rows of ``a`` and ``b`` (words of fingerprints) differ in at most ``max_bits``: from some segment on, every chain keeps its budget."""
+    m = a.shape[1]
+    found = np.zeros(len(a), bool)
+    for i in range(m):
+        live = np.flatnonzero(~found)
+        total = np.zeros(len(live), np.int64)
+        for step in range(m):
+            w = (i + step) % m
+            total = total + np.bitwise_count(a[live, w] ^ b[live, w])
+            keep = total <= (step + 1) * max_bits // m
+            live, total = live[keep], total[keep]
+        found[live] = True
+    return found
+
+
+def grown(fp: np.ndarray, size: np.ndarray, max_bits: int, ratio: float, block: int = 1 << 19) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect one cell's rows as all its links do: each row is linked to the first that reaches it."""
+    out = []
+    rest = np.arange(len(fp))
+    while len(rest):
+        todo, rest, take = rest[:1], rest[1:], 1
+        while len(todo) and len(rest):
+            own, todo = todo[:take], todo[take:]
+            hit = np.zeros(len(rest), bool)
+            for part in range(0, len(rest), block):
+                r = rest[part : part + block]
+                a, b = np.repeat(own, len(r)), np.tile(r, len(own))
+                ok = np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b])
+                a, b, at = a[ok], b[ok], np.flatnonzero(ok) % len(r)
+                ok = ring_linked(fp[a], fp[b], max_bits)
+                a, b, at = a[ok], b[ok], at[ok]
+                at, one = np.unique(at, return_index=True)
+                out.append((a[one], b[one]))
+                hit[part + at] = True
+            todo, rest = np.concatenate([rest[hit], todo]), rest[~hit]
+            take = max(1, min(2 * take, block // max(1, len(rest))))
+    return out
+
+
+def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_000, small: int = 128) -> DataFrame:
+    """Edges (u, v, sure), u > v, between the ``least`` ids of ``classes`` (fp, size, least) that share a cell and may be similar.
+
+    Pairs three standard deviations nearer than ``similarity`` demands are sure and given as stars; others,
+    up to two deviations farther, are given themselves. In a cell of over ``small`` rows they are a tree
+    that connects what all of them connect.
+    """
+    max_bits, sure_bits = bits_for(similarity, 2), bits_for(similarity, -3)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                slot = wide_slots(_wide(part.column(0)))
+                which = pa.array(np.repeat(np.arange(len(slot)), slot.shape[1]))
+                yield pa.record_batch([pa.array(slot.ravel()), *(part.column(k).take(which) for k in range(3))], ["slot", "fp", "size", "least"])
+
+    rows = classes.select("fp", "size", "least").mapInArrow(deal, "slot long, fp binary, size int, least long")
+    # written first, so that the join's plan knows its size
+    large = rows.groupBy("slot").count().where(F.col("count") > cell_rows).select("slot", F.ceil(F.col("count") / cell_rows).cast("int").alias("k"))
+    rows = rows.join(written(large, "cells"), "slot", "left").withColumn("_own", F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
+    rows = rows.select("slot", "fp", "size", "least", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        slot, size, least, x, y = (t.column(c).to_numpy().astype(np.int64) for c in ("slot", "size", "least", "x", "y"))
+        fp = _wide(t.column("fp"))
+        o = np.lexsort((size, y, x, slot))
+        slot, size, least, x, y, fp = slot[o], size[o], least[o], x[o], y[o], fp[o]
+        new = np.concatenate([[True], (slot[1:] != slot[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        cell, first = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(slot))
+        key = (cell << 32) | size
+        n = np.searchsorted(key, (cell << 32) | np.floor(size / similarity).astype(np.int64), "right") - np.arange(len(key)) - 1
+        big = np.flatnonzero(np.diff(first) > small)
+        n[np.isin(cell, big)] = 0
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+        todo = np.flatnonzero(n)
+        for pick in np.split(todo, np.flatnonzero(np.diff(np.cumsum(n[todo]) >> 18)) + 1) if len(todo) else []:
+            k = n[pick]
+            a = np.repeat(pick, k)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+            ok = ring_linked(fp[a], fp[b], max_bits)
+            pairs.append((a[ok], b[ok]))
+        for c in big.tolist():
+            own = np.arange(first[c], first[c + 1])
+            own = own[np.argsort(least[own])]
+            pairs += [(own[a], own[b]) for a, b in grown(fp[own], size[own], max_bits, similarity)]
+        if not pairs:
+            return
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        names, node = np.unique(least, return_inverse=True)
+        sure = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1) <= sure_bits
+        root = roots(len(names), node[a[sure]], node[b[sure]])
+        far = np.flatnonzero(root != np.arange(len(names)))
+        yield pa.record_batch([pa.array(names[far]), pa.array(names[root[far]]), pa.array(np.ones(len(far), bool))], ["u", "v", "sure"])
+        a, b = node[a[~sure]], node[b[~sure]]
+        a, b = a[root[a] != root[b]], b[root[a] != root[b]]
+        a, b = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
+        yield pa.record_batch([pa.array(names[a]), pa.array(names[b]), pa.array(np.zeros(len(a), bool))], ["u", "v", "sure"])
+
+    return rows.repartition("slot", "x", "y").mapInArrow(run, "u long, v long, sure boolean")
+
+
+def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, hashes) of ``docs`` (doc_id, text): 32 bits of the hash of each different shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", 2 << 20):
+            raw, at = text_bytes(part.column(1))
+            data = raw.tobytes()
+            sets = [np.unique(np.array(shingle_hashes(data[a:b], shingle), np.uint64).astype(np.uint32)).view(np.int32) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc_id", "hashes"])
+
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, hashes array<int>")
+
+
+def checked(pairs: DataFrame, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The ``pairs`` (u, v) of ids whose texts in ``docs`` have this Jaccard similarity."""
+    nodes = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    sets = written(shingle_sets(only(docs, doc_id="long", text="string").join(nodes, "doc_id", "left_semi"), shingle), "sets")
+    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b")), "v")
+    same = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("all"))
+    return same.where(F.col("n") >= similarity * (F.col("all") - F.col("n"))).select("u", "v")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, whose id is the smallest of their group of near-duplicates.
+
+    Similarity is the Jaccard similarity of sets of word shingles. Fingerprints of 256 bits find the pairs:
+    texts meet in cells, equal segments of 16 bits in four orders of the bits, 64 in all, so that a pair
+    at 0.8 meets in one of them with a chance of 0.99, at 0.85 of 0.999. In a cell pigeonring chains prune
+    before the full Hamming check and lose nothing. Pairs that the fingerprints leave in doubt are checked on the sets.
+
+    Rows without an id stay; texts without words are one group; ids are taken to be unique.
     """
     at = [i for i, c in enumerate(docs.columns) if c.lower() == "doc_id"][0]
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    gone = near_duplicates(docs, shingle, max_bits).where("doc_id <> component_id").select("doc_id").distinct()
+    fps = written(wide_fingerprints(docs, shingle).where("doc_id IS NOT NULL"), "fingerprints")
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("size").alias("size")), "classes")
+    found = written(wide_links(classes, similarity).distinct(), "links")
+    let_go(docs.sparkSession)
+    edges = found.where("sure").select("u", "v").union(checked(found.where("NOT sure").select("u", "v"), docs, shingle, similarity))
+    root = components(edges).where("node <> root").select(F.col("node").alias("least"), F.lit(True).alias("far"))
+    gone = fps.join(classes.join(root, "least", "left").select("fp", "least", "far"), "fp").where("far OR doc_id <> least").select("doc_id").distinct()
     return plain.join(gone, F.col(f"c{at}") == F.col("doc_id"), "left_anti").toDF(*docs.columns)
