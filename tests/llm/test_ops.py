@@ -324,3 +324,54 @@ def test_pipeline_stages(spark, sf):
     assert (decontam.find(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).where("n_hit > 0").count(), prints.doc_id.is_unique) == (0, True)
     assert all(not brute.base_spans(r.text) for r in docs.collect())
     assert {r.doc_id for r in c.STAGES[-1][1](spark, docs, sf).collect()} == {r.doc_id for r in docs.collect()}
+
+
+def _five(t):
+    w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split(" ")
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_of_five_words_against_all_pairs(spark):
+    r, data = random.Random(8), []
+    vocabulary = [f"w{i}" for i in range(900)]
+    for g in range(60):
+        base = [r.choice(vocabulary) for _ in range(r.randrange(60, 400))]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(r.randrange(0, 7)):
+                w[r.randrange(len(w))] = "changed"
+            data.append((len(data), " ".join(w)))
+    s = [_five(t) for _, t in data]
+    a, b = zip(*((i, j) for i in range(len(s)) for j in range(i) if len(s[i] & s[j]) >= 0.8 * len(s[i] | s[j])))
+    want = {i for i, x in enumerate(simhash.roots(len(s), np.array(a), np.array(b)).tolist()) if i == x}
+    got = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    # a pair at the limit may meet in no cell; none that is farther may be linked
+    assert want <= got and len(got - want) <= 2
+
+
+def test_near_duplicate_stage_on_hard_rows(spark, hard, none):
+    kept = simhash.keep_one(hard)
+    assert kept.columns == hard.columns
+    assert sorted(-1 if x.doc_id is None else x.doc_id for x in kept.collect()) == [-1, 0, 0, 0, 1, 4, 7, 8, 9, 10]  # 5 shares 13 of 15 shingles with 0
+    assert simhash.keep_one(none).collect() == []
+
+
+@pytest.mark.parametrize("cells, small", [(20_000, 128), (20_000, 2), (7, 2)])
+def test_cells_connect_what_is_near(spark, cells, small):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, (30, simhash.WORDS)).astype(np.uint64)
+    fps = np.repeat(base, 8, axis=0)
+    for x in fps:
+        for bit in r.integers(0, 256, 6):
+            x[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    rows = [(bytearray(x.tobytes()), 100, i) for i, x in enumerate(fps)]
+    e = simhash.wide_links(spark.createDataFrame(rows, "fp binary, size int, least long"), 0.8, cells, small).toPandas()
+    got = simhash.roots(len(fps), e.u.to_numpy(), e.v.to_numpy())
+    assert (got == np.arange(len(fps)) // 8 * 8).all()
+
+
+def test_chains_lose_no_pair():
+    r = np.random.default_rng(6)
+    a = r.integers(0, 1 << 63, (3000, 4)).astype(np.uint64)
+    b = a ^ (r.integers(0, 1 << 63, (3000, 4)) & r.integers(0, 1 << 63, (3000, 4)) & r.integers(0, 1 << 63, (3000, 4))).astype(np.uint64)
+    assert (simhash.ring_linked(a, b, 32) == (np.bitwise_count(a ^ b).sum(axis=1) <= 32)).all()
