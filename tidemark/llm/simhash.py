@@ -307,12 +307,13 @@ def grown(fp: np.ndarray, size: np.ndarray, max_bits: int, ratio: float, block:
     return out
 
 
-def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_000, small: int = 128) -> DataFrame:
-    """Edges (u, v, sure), u > v, between the ``least`` ids of ``classes`` (fp, size, least) that share a cell and may be similar.
+def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_000, small: int = 128, partners: int = 0) -> DataFrame:
+    """Edges (u, v, sure), u > v, between the ``least`` ids of ``classes`` (fp, size, least, maybe root) that share a cell, differ in ``root`` and may be similar.
 
     Pairs three standard deviations nearer than ``similarity`` demands are sure and given as stars; others,
-    up to two deviations farther, are given themselves. In a cell of over ``small`` rows they are a tree
-    that connects what all of them connect.
+    up to two deviations farther, are given themselves. With ``partners`` over 0, a first look, they are few: an
+    id's partners fall in so many parts by hash, and of each part it keeps the nearest; in a cell of over ``small``
+    rows only pairs of a tree are looked at. With 0, all pairs are given.
     """
     max_bits, sure_bits = bits_for(similarity, 2), bits_for(similarity, -3)
 
@@ -322,29 +323,52 @@ def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_
                 part = batch.slice(i, 4096)
                 slot = wide_slots(_wide(part.column(0)))
                 which = pa.array(np.repeat(np.arange(len(slot)), slot.shape[1]))
-                yield pa.record_batch([pa.array(slot.ravel()), *(part.column(k).take(which) for k in range(3))], ["slot", "fp", "size", "least"])
+                yield pa.record_batch([pa.array(slot.ravel()), *(part.column(k).take(which) for k in range(4))], ["slot", "fp", "size", "least", "root"])
 
-    rows = classes.select("fp", "size", "least").mapInArrow(deal, "slot long, fp binary, size int, least long")
+    named = classes if "root" in classes.columns else classes.withColumn("root", F.col("least"))
+    rows = named.select("fp", "size", "least", "root").mapInArrow(deal, "slot long, fp binary, size int, least long, root long")
     # written first, so that the join's plan knows its size
     large = rows.groupBy("slot").count().where(F.col("count") > cell_rows).select("slot", F.ceil(F.col("count") / cell_rows).cast("int").alias("k"))
     rows = rows.join(written(large, "cells"), "slot", "left").withColumn("_own", F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
-    rows = rows.select("slot", "fp", "size", "least", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"))
+    rows = rows.select("slot", "fp", "size", "least", "root", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"))
+
+    def edges(pairs: list[tuple[np.ndarray, np.ndarray]], fp: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not pairs:
+            return
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        bits = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1).astype(np.int64)
+        names, node = np.unique(least, return_inverse=True)
+        sure = bits <= sure_bits
+        star = roots(len(names), node[a[sure]], node[b[sure]])
+        far = np.flatnonzero(star != np.arange(len(names)))
+        yield pa.record_batch([pa.array(names[far]), pa.array(names[star[far]]), pa.array(np.zeros(len(far), np.int32))], ["u", "v", "bits"])
+        doubt = ~sure & (star[node[a]] != star[node[b]])
+        a, b, bits = node[a[doubt]], node[b[doubt]], bits[doubt]
+        a, b, bits = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([bits, bits])
+        if partners:
+            part = a * partners + (names[b] * 0x9E3779B1 >> 20) % partners
+            o = np.lexsort((bits, part))
+            o = o[np.unique(part[o], return_index=True)[1]]
+        else:
+            o = np.unique(np.where(a > b, a * len(names) + b, -1), return_index=True)[1]
+            o = o[a[o] > b[o]]
+        yield pa.record_batch([pa.array(names[a[o]]), pa.array(names[b[o]]), pa.array(bits[o].astype(np.int32))], ["u", "v", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        slot, size, least, x, y = (t.column(c).to_numpy().astype(np.int64) for c in ("slot", "size", "least", "x", "y"))
+        slot, size, least, root, x, y = (t.column(c).to_numpy().astype(np.int64) for c in ("slot", "size", "least", "root", "x", "y"))
         fp = _wide(t.column("fp"))
         o = np.lexsort((size, y, x, slot))
-        slot, size, least, x, y, fp = slot[o], size[o], least[o], x[o], y[o], fp[o]
+        slot, size, least, root, x, y, fp = slot[o], size[o], least[o], root[o], x[o], y[o], fp[o]
         new = np.concatenate([[True], (slot[1:] != slot[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
         cell, first = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(slot))
         key = (cell << 32) | size
         n = np.searchsorted(key, (cell << 32) | np.floor(size / similarity).astype(np.int64), "right") - np.arange(len(key)) - 1
-        big = np.flatnonzero(np.diff(first) > small)
+        big = np.flatnonzero(np.diff(first) > small) if partners else []
         n[np.isin(cell, big)] = 0
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         todo = np.flatnonzero(n)
@@ -352,26 +376,26 @@ def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_
             k = n[pick]
             a = np.repeat(pick, k)
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+            ok = root[a] != root[b]
+            a, b = a[ok], b[ok]
             ok = ring_linked(fp[a], fp[b], max_bits)
             pairs.append((a[ok], b[ok]))
-        for c in big.tolist():
+            if sum(len(x) for x, _ in pairs) > 1 << 20:
+                yield from edges(pairs, fp, least)
+                pairs = []
+        for c in big:
             own = np.arange(first[c], first[c + 1])
             own = own[np.argsort(least[own])]
             pairs += [(own[a], own[b]) for a, b in grown(fp[own], size[own], max_bits, similarity)]
-        if not pairs:
-            return
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        names, node = np.unique(least, return_inverse=True)
-        sure = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1) <= sure_bits
-        root = roots(len(names), node[a[sure]], node[b[sure]])
-        far = np.flatnonzero(root != np.arange(len(names)))
-        yield pa.record_batch([pa.array(names[far]), pa.array(names[root[far]]), pa.array(np.ones(len(far), bool))], ["u", "v", "sure"])
-        a, b = node[a[~sure]], node[b[~sure]]
-        a, b = a[root[a] != root[b]], b[root[a] != root[b]]
-        a, b = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1)
-        yield pa.record_batch([pa.array(names[a]), pa.array(names[b]), pa.array(np.zeros(len(a), bool))], ["u", "v", "sure"])
+        yield from edges(pairs, fp, least)
 
-    return rows.repartition("slot", "x", "y").mapInArrow(run, "u long, v long, sure boolean")
+    out = rows.repartition("slot", "x", "y").mapInArrow(run, "u long, v long, bits int")
+    if partners:
+        # a sure edge keeps its ends as its part, so that none is lost; equal bits are told apart by hash, so that no id is the partner of all
+        part = F.when(F.col("bits") > 0, F.pmod(F.xxhash64("v"), F.lit(partners))).otherwise(F.col("v"))
+        near = F.min(F.struct("bits", F.xxhash64("u", "v").alias("h"), "v")).alias("x")
+        out = out.groupBy("u", (F.col("bits") > 0).alias("doubt"), part.alias("part")).agg(near).select("u", "x.v", "x.bits")
+    return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("bits") == 0).alias("sure")).distinct()
 
 
 def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -411,9 +435,21 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     fps = written(wide_fingerprints(docs, shingle).where("doc_id IS NOT NULL"), "fingerprints")
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("size").alias("size")), "classes")
-    found = written(wide_links(classes, similarity).distinct(), "links")
-    let_go(docs.sparkSession)
-    edges = found.where("sure").select("u", "v").union(checked(found.where("NOT sure").select("u", "v"), docs, shingle, similarity))
-    root = components(edges).where("node <> root").select(F.col("node").alias("least"), F.lit(True).alias("far"))
+    # a first look joins most of each group by a few partners of each text; then all pairs of texts still apart are looked at
+    root = None
+    for partners in (8, 0):
+        named = classes
+        if root is not None:
+            # who has a partner keeps one in the first look, so the others have none
+            some = found.select(F.col("u").alias("least")).union(found.select("v")).distinct()
+            named = classes.join(some, "least", "left_semi").join(root, "least", "left").select("fp", "size", "least", F.coalesce("root", "least").alias("root"))
+        found = written(wide_links(named, similarity, partners=partners), "links")
+        let_go(docs.sparkSession)
+        edges = found.where("sure").select("u", "v").union(checked(found.where("NOT sure").select("u", "v"), docs, shingle, similarity))
+        if root is not None:
+            edges = edges.union(root.select("least", "root"))
+        root = components(edges).where("node <> root").select(F.col("node").alias("least"), "root")
+        let_go(docs.sparkSession)
+    root = root.select("least", F.lit(True).alias("far"))
     gone = fps.join(classes.join(root, "least", "left").select("fp", "least", "far"), "fp").where("far OR doc_id <> least").select("doc_id").distinct()
     return plain.join(gone, F.col(f"c{at}") == F.col("doc_id"), "left_anti").toDF(*docs.columns)
