@@ -242,7 +242,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(doc_id, fp, size) of ``docs`` (doc_id, text): the wide fingerprint's bytes and the number of different shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 19):
             raw, at = text_bytes(part.column(1))
             data = raw.tobytes()
             fp, n = wide_fingerprints_of([data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], shingle)
@@ -402,7 +402,7 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(doc_id, hashes) of ``docs`` (doc_id, text): 32 bits of the hash of each different shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 1 << 19):
             raw, at = text_bytes(part.column(1))
             data = raw.tobytes()
             sets = [np.unique(np.array(shingle_hashes(data[a:b], shingle), np.uint64).astype(np.uint32)).view(np.int32) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
@@ -414,7 +414,8 @@ def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 def checked(pairs: DataFrame, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The ``pairs`` (u, v) of ids whose texts in ``docs`` have this Jaccard similarity."""
-    nodes = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    # written first, so that the plan knows their size and shuffles no texts where the ids can be broadcast
+    nodes = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "nodes")
     sets = written(shingle_sets(only(docs, doc_id="long", text="string").join(nodes, "doc_id", "left_semi"), shingle), "sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b")), "v")
     same = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("all"))
@@ -452,4 +453,5 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
         let_go(docs.sparkSession)
     root = root.select("least", F.lit(True).alias("far"))
     gone = fps.join(classes.join(root, "least", "left").select("fp", "least", "far"), "fp").where("far OR doc_id <> least").select("doc_id").distinct()
+    gone = written(gone, "gone")  # as in checked
     return plain.join(gone, F.col(f"c{at}") == F.col("doc_id"), "left_anti").toDF(*docs.columns)
