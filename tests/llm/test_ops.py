@@ -375,3 +375,23 @@ def test_chains_lose_no_pair():
     a = r.integers(0, 1 << 63, (3000, 4)).astype(np.uint64)
     b = a ^ (r.integers(0, 1 << 63, (3000, 4)) & r.integers(0, 1 << 63, (3000, 4)) & r.integers(0, 1 << 63, (3000, 4))).astype(np.uint64)
     assert (simhash.ring_linked(a, b, 32) == (np.bitwise_count(a ^ b).sum(axis=1) <= 32)).all()
+
+
+def test_short_near_copies_are_all_found(spark):
+    r, data = random.Random(12), []
+    for g in range(150):
+        n = r.choice([8, 12, 16, 24, 40])
+        w = [f"g{g}x{i}" for i in range(n)]
+        data += [(2 * g, " ".join(w)), (2 * g + 1, " ".join(w + [f"g{g}y{i}" for i in range((n - 4) // 4)]))]
+    assert all(len(_five(a) & _five(b)) >= 0.8 * len(_five(a) | _five(b)) for (_, a), (_, b) in zip(data[::2], data[1::2]))
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 300, 2))
+
+
+def test_long_pairs_at_the_limit_meet_within_the_bound():
+    r = np.random.default_rng(13)
+    a = r.integers(0, 1 << 63, (4000, simhash.WORDS)).astype(np.uint64)
+    flips = r.random((4000, 256)) < np.arccos(1.6 / 1.8) / np.pi
+    b = a ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
+    meet = (simhash.wide_slots(a) == simhash.wide_slots(b)).any(axis=1)
+    assert (meet & simhash.ring_linked(a, b, simhash.bits_for(0.8, 4))).mean() > 0.99

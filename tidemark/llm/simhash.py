@@ -208,18 +208,32 @@ def digests(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WORDS, RINGS, WIDTH = 4, 4, 16
+WORDS, RINGS, WIDTH = 4, 8, 16
+#: Texts of at most so many different shingles are found by shingles and not by cells.
+SHORT = 400
 
 
-def bits_for(similarity: float, deviations: float) -> int:
-    """Differing bits of wide fingerprints that sets of this Jaccard similarity are expected to have, and so many standard deviations more."""
+def bits_for(similarity: float, deviations: float, size=np.inf):
+    """Differing bits of wide fingerprints that sets of this Jaccard similarity are expected to have, and so many standard deviations more.
+
+    ``size``, a number or an array, is that of the smaller set. Ties of the majority make small sets differ in
+    more bits than the limit for large ones; 0.15 / size is no less than that excess at 0.8 for all sizes tried.
+    """
     n = 64 * WORDS
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(n * p + deviations * math.sqrt(n * p * (1 - p)))
+    p = np.minimum(math.acos(2 * similarity / (1 + similarity)) / math.pi + 0.15 / np.maximum(size, 1), 0.5)
+    return (n * p + deviations * np.sqrt(n * p * (1 - p))).astype(np.int64)
+
+
+def prefix(hashes: set[int], similarity: float) -> list[int]:
+    """So many least hashes that two sets of this similarity share one of theirs, as slots above all cells; of sets that have no SHORT partner, none."""
+    n = len(hashes)
+    if n > SHORT / similarity:
+        return []
+    return [h >> 2 | 1 << 62 for h in sorted(hashes)[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
-def wide_fingerprints_of(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """For each text a row of WORDS 64-bit words, by majority of its different shingles, and how many those are."""
+def wide_fingerprints_of(texts: list[bytes], shingle: int = 5, similarity: float = 0.8) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """For each text a row of WORDS 64-bit words, by majority of its different shingles, how many those are, and its ``prefix``."""
     hashes = [set(shingle_hashes(t, shingle)) for t in texts]
     n = np.array([len(h) for h in hashes], np.int64)
     out = np.zeros((len(texts), WORDS), np.uint64)
@@ -235,20 +249,21 @@ def wide_fingerprints_of(texts: list[bytes], shingle: int = 5) -> tuple[np.ndarr
             bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
             out[some, j] = np.packbits(ones * 2 > n[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out, n
+    return out, n, [prefix(h, similarity) for h in hashes]
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, fp, size) of ``docs`` (doc_id, text): the wide fingerprint's bytes and the number of different shingles."""
+def wide_fingerprints(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, size, keys) of ``docs`` (doc_id, text): the wide fingerprint's bytes, the number of different shingles, and the ``prefix``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 19):
             raw, at = text_bytes(part.column(1))
             data = raw.tobytes()
-            fp, n = wide_fingerprints_of([data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], shingle)
-            yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(n.astype(np.int32))], ["doc_id", "fp", "size"])
+            fp, n, keys = wide_fingerprints_of([data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], shingle, similarity)
+            columns = [part.column(0), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(n.astype(np.int32)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["doc_id", "fp", "size", "keys"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp binary, size int")
+    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp binary, size int, keys array<long>")
 
 
 def _wide(col: pa.Array) -> np.ndarray:
@@ -267,9 +282,9 @@ def wide_slots(fp: np.ndarray) -> np.ndarray:
     return np.hstack(out)
 
 
-def ring_linked(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Whether rows of ``a`` and ``b`` (words of fingerprints) differ in at most ``max_bits``: from some segment on, every chain keeps its budget."""
-    m = a.shape[1]
+def ring_linked(a: np.ndarray, b: np.ndarray, max_bits: int | np.ndarray) -> np.ndarray:
+    """Whether rows of ``a`` and ``b`` (words of fingerprints) differ in at most ``max_bits``, one for all or one each: from some segment on, every chain keeps its budget."""
+    m, most = a.shape[1], np.broadcast_to(max_bits, len(a))
     found = np.zeros(len(a), bool)
     for i in range(m):
         live = np.flatnonzero(~found)
@@ -277,14 +292,14 @@ def ring_linked(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
         for step in range(m):
             w = (i + step) % m
             total = total + np.bitwise_count(a[live, w] ^ b[live, w])
-            keep = total <= (step + 1) * max_bits // m
+            keep = total <= (step + 1) * most[live] // m
             live, total = live[keep], total[keep]
         found[live] = True
     return found
 
 
-def grown(fp: np.ndarray, size: np.ndarray, max_bits: int, ratio: float, block: int = 1 << 19) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect one cell's rows as all its links do: each row is linked to the first that reaches it."""
+def grown(fp: np.ndarray, size: np.ndarray, limits: np.ndarray, ratio: float, block: int = 1 << 19) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect one cell's rows as all its links do: each row is linked to the first that reaches it. ``limits`` are the rows' most bits."""
     out = []
     rest = np.arange(len(fp))
     while len(rest):
@@ -297,7 +312,7 @@ def grown(fp: np.ndarray, size: np.ndarray, max_bits: int, ratio: float, block:
                 a, b = np.repeat(own, len(r)), np.tile(r, len(own))
                 ok = np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b])
                 a, b, at = a[ok], b[ok], np.flatnonzero(ok) % len(r)
-                ok = ring_linked(fp[a], fp[b], max_bits)
+                ok = ring_linked(fp[a], fp[b], np.maximum(limits[a], limits[b]))
                 a, b, at = a[ok], b[ok], at[ok]
                 at, one = np.unique(at, return_index=True)
                 out.append((a[one], b[one]))
@@ -308,25 +323,30 @@ def grown(fp: np.ndarray, size: np.ndarray, max_bits: int, ratio: float, block:
 
 
 def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_000, small: int = 128, partners: int = 0) -> DataFrame:
-    """Edges (u, v, sure), u > v, between the ``least`` ids of ``classes`` (fp, size, least, maybe root) that share a cell, differ in ``root`` and may be similar.
+    """Edges (u, v, sure), u > v, between the ``least`` ids of ``classes`` (fp, size, least, maybe root and keys) that share a cell, differ in ``root`` and may be similar.
 
+    Rows enter the cells of their ``keys``; rows over SHORT, or without ``keys``, those of their fingerprints.
     Pairs three standard deviations nearer than ``similarity`` demands are sure and given as stars; others,
-    up to two deviations farther, are given themselves. With ``partners`` over 0, a first look, they are few: an
+    up to four deviations farther, are given themselves. With ``partners`` over 0, a first look, they are few: an
     id's partners fall in so many parts by hash, and of each part it keeps the nearest; in a cell of over ``small``
     rows only pairs of a tree are looked at. With 0, all pairs are given.
     """
-    max_bits, sure_bits = bits_for(similarity, 2), bits_for(similarity, -3)
+    sure_bits = bits_for(similarity, -3)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                slot = wide_slots(_wide(part.column(0)))
-                which = pa.array(np.repeat(np.arange(len(slot)), slot.shape[1]))
-                yield pa.record_batch([pa.array(slot.ravel()), *(part.column(k).take(which) for k in range(4))], ["slot", "fp", "size", "least", "root"])
+            for i in range(0, batch.num_rows, 2048):
+                part = batch.slice(i, 2048)
+                size, keys = part.column(1).to_numpy(), part.column(4)
+                wide = np.flatnonzero((size > SHORT) | keys.is_null().to_numpy(zero_copy_only=False))
+                cells = wide_slots(_wide(part.column(0).take(pa.array(wide))))
+                slot = np.concatenate([cells.ravel(), keys.flatten().to_numpy()])
+                which = pa.array(np.concatenate([np.repeat(wide, cells.shape[1]), np.repeat(np.arange(len(size)), keys.value_lengths().fill_null(0).to_numpy())]))
+                yield pa.record_batch([pa.array(slot), *(part.column(k).take(which) for k in range(4))], ["slot", "fp", "size", "least", "root"])
 
     named = classes if "root" in classes.columns else classes.withColumn("root", F.col("least"))
-    rows = named.select("fp", "size", "least", "root").mapInArrow(deal, "slot long, fp binary, size int, least long, root long")
+    named = named if "keys" in classes.columns else named.withColumn("keys", F.lit(None).cast("array<long>"))
+    rows = named.select("fp", "size", "least", "root", "keys").mapInArrow(deal, "slot long, fp binary, size int, least long, root long")
     # written first, so that the join's plan knows its size
     large = rows.groupBy("slot").count().where(F.col("count") > cell_rows).select("slot", F.ceil(F.col("count") / cell_rows).cast("int").alias("k"))
     rows = rows.join(written(large, "cells"), "slot", "left").withColumn("_own", F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int"))
@@ -364,6 +384,7 @@ def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_
         fp = _wide(t.column("fp"))
         o = np.lexsort((size, y, x, slot))
         slot, size, least, root, x, y, fp = slot[o], size[o], least[o], root[o], x[o], y[o], fp[o]
+        limits = bits_for(similarity, 4, size)  # falls with size, so that the smaller of a pair has the higher
         new = np.concatenate([[True], (slot[1:] != slot[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
         cell, first = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(slot))
         key = (cell << 32) | size
@@ -378,7 +399,7 @@ def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_
             b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
             ok = root[a] != root[b]
             a, b = a[ok], b[ok]
-            ok = ring_linked(fp[a], fp[b], max_bits)
+            ok = ring_linked(fp[a], fp[b], limits[a])
             pairs.append((a[ok], b[ok]))
             if sum(len(x) for x, _ in pairs) > 1 << 20:
                 yield from edges(pairs, fp, least)
@@ -386,7 +407,7 @@ def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_
         for c in big:
             own = np.arange(first[c], first[c + 1])
             own = own[np.argsort(least[own])]
-            pairs += [(own[a], own[b]) for a, b in grown(fp[own], size[own], max_bits, similarity)]
+            pairs += [(own[a], own[b]) for a, b in grown(fp[own], size[own], limits[own], similarity)]
         yield from edges(pairs, fp, least)
 
     out = rows.repartition("slot", "x", "y").mapInArrow(run, "u long, v long, bits int")
@@ -425,17 +446,18 @@ def checked(pairs: DataFrame, docs: DataFrame, shingle: int = 5, similarity: flo
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs``, all columns, whose id is the smallest of their group of near-duplicates.
 
-    Similarity is the Jaccard similarity of sets of word shingles. Fingerprints of 256 bits find the pairs:
-    texts meet in cells, equal segments of 16 bits in four orders of the bits, 64 in all, so that a pair
-    at 0.8 meets in one of them with a chance of 0.99, at 0.85 of 0.999. In a cell pigeonring chains prune
-    before the full Hamming check and lose nothing. Pairs that the fingerprints leave in doubt are checked on the sets.
+    Similarity is the Jaccard similarity of sets of word shingles. Texts of up to SHORT shingles
+    meet in cells of their least shingle hashes, so many that every pair at 0.8 shares one. Longer ones meet
+    by fingerprints of 256 bits: equal segments of 16 bits in eight orders of the bits, 128 in all, so that a
+    pair at 0.8 meets in one of them with a chance of 0.997, at 0.85 of 0.9998. In a cell pigeonring chains
+    prune before the full Hamming check; its limit, four deviations, loses about 0.0001 of pairs at 0.8. Pairs that the fingerprints leave in doubt are checked on the sets.
 
     Rows without an id stay; texts without words are one group; ids are taken to be unique.
     """
     at = [i for i, c in enumerate(docs.columns) if c.lower() == "doc_id"][0]
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    fps = written(wide_fingerprints(docs, shingle).where("doc_id IS NOT NULL"), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("size").alias("size")), "classes")
+    fps = written(wide_fingerprints(docs, shingle, similarity).where("doc_id IS NOT NULL"), "fingerprints")
+    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("size", "doc_id").alias("size"), F.min_by("keys", "doc_id").alias("keys")), "classes")
     # a first look joins most of each group by a few partners of each text; then all pairs of texts still apart are looked at
     root = None
     for partners in (8, 0):
@@ -443,7 +465,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
         if root is not None:
             # who has a partner keeps one in the first look, so the others have none
             some = found.select(F.col("u").alias("least")).union(found.select("v")).distinct()
-            named = classes.join(some, "least", "left_semi").join(root, "least", "left").select("fp", "size", "least", F.coalesce("root", "least").alias("root"))
+            named = classes.join(some, "least", "left_semi").join(root, "least", "left").select("fp", "size", "keys", "least", F.coalesce("root", "least").alias("root"))
         found = written(wide_links(named, similarity, partners=partners), "links")
         let_go(docs.sparkSession)
         edges = found.where("sure").select("u", "v").union(checked(found.where("NOT sure").select("u", "v"), docs, shingle, similarity))
