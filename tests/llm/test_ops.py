@@ -395,3 +395,16 @@ def test_long_pairs_at_the_limit_meet_within_the_bound():
     b = a ^ np.packbits(flips, axis=1, bitorder="little").view(np.uint64)
     meet = (simhash.wide_slots(a) == simhash.wide_slots(b)).any(axis=1)
     assert (meet & simhash.ring_linked(a, b, simhash.bits_for(0.8, 4))).mean() > 0.99
+
+
+def test_no_pair_links_by_its_fingerprints_alone(spark):
+    r = random.Random(14)
+    # 7 of 9 shingles shared, 0.778; the two of many such whose fingerprints are nearest
+    made = [[f"w{r.randrange(10**9)}" for _ in range(12)] for _ in range(6000)]
+    texts = [(" ".join(w), " ".join(w[:11] + ["other"])) for w in made]
+    fp = simhash.wide_fingerprints_of([x.encode() for p in texts for x in p])[0]
+    bits = np.bitwise_count(fp[::2] ^ fp[1::2]).sum(axis=1)
+    near = np.argsort(bits)[:2]
+    assert bits[near].max() <= 21
+    data = [(2 * i + k, t) for i, n in enumerate(near) for k, t in enumerate(texts[n])]
+    assert {x.doc_id for x in simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()} == {0, 1, 2, 3}

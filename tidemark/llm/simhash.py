@@ -323,15 +323,14 @@ def grown(fp: np.ndarray, size: np.ndarray, limits: np.ndarray, ratio: float, bl
 
 
 def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_000, small: int = 128, partners: int = 0) -> DataFrame:
-    """Edges (u, v, sure), u > v, between the ``least`` ids of ``classes`` (fp, size, least, maybe root and keys) that share a cell, differ in ``root`` and may be similar.
+    """Edges (u, v), u > v, between the ``least`` ids of ``classes`` (fp, size, least, maybe root and keys) that share a cell, differ in ``root`` and may be similar.
 
     Rows enter the cells of their ``keys``; rows over SHORT, or without ``keys``, those of their fingerprints.
-    Pairs three standard deviations nearer than ``similarity`` demands are sure and given as stars; others,
-    up to four deviations farther, are given themselves. With ``partners`` over 0, a first look, they are few: an
+    Pairs up to four standard deviations farther than ``similarity`` demands are given, none of them as sure: all
+    are to be checked. With ``partners`` over 0, a first look, they are few: an
     id's partners fall in so many parts by hash, and of each part it keeps the nearest; in a cell of over ``small``
     rows only pairs of a tree are looked at. With 0, all pairs are given.
     """
-    sure_bits = bits_for(similarity, -3)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,12 +358,7 @@ def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_
         a, b = (np.concatenate(x) for x in zip(*pairs))
         bits = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1).astype(np.int64)
         names, node = np.unique(least, return_inverse=True)
-        sure = bits <= sure_bits
-        star = roots(len(names), node[a[sure]], node[b[sure]])
-        far = np.flatnonzero(star != np.arange(len(names)))
-        yield pa.record_batch([pa.array(names[far]), pa.array(names[star[far]]), pa.array(np.zeros(len(far), np.int32))], ["u", "v", "bits"])
-        doubt = ~sure & (star[node[a]] != star[node[b]])
-        a, b, bits = node[a[doubt]], node[b[doubt]], bits[doubt]
+        a, b = node[a], node[b]
         a, b, bits = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([bits, bits])
         if partners:
             part = a * partners + (names[b] * 0x9E3779B1 >> 20) % partners
@@ -412,11 +406,10 @@ def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_
 
     out = rows.repartition("slot", "x", "y").mapInArrow(run, "u long, v long, bits int")
     if partners:
-        # a sure edge keeps its ends as its part, so that none is lost; equal bits are told apart by hash, so that no id is the partner of all
-        part = F.when(F.col("bits") > 0, F.pmod(F.xxhash64("v"), F.lit(partners))).otherwise(F.col("v"))
+        # equal bits are told apart by hash, so that no id is the partner of all
         near = F.min(F.struct("bits", F.xxhash64("u", "v").alias("h"), "v")).alias("x")
-        out = out.groupBy("u", (F.col("bits") > 0).alias("doubt"), part.alias("part")).agg(near).select("u", "x.v", "x.bits")
-    return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"), (F.col("bits") == 0).alias("sure")).distinct()
+        out = out.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(partners)).alias("part")).agg(near).select("u", "x.v")
+    return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -450,7 +443,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     meet in cells of their least shingle hashes, so many that every pair at 0.8 shares one. Longer ones meet
     by fingerprints of 256 bits: equal segments of 16 bits in eight orders of the bits, 128 in all, so that a
     pair at 0.8 meets in one of them with a chance of 0.997, at 0.85 of 0.9998. In a cell pigeonring chains
-    prune before the full Hamming check; its limit, four deviations, loses about 0.0001 of pairs at 0.8. Pairs that the fingerprints leave in doubt are checked on the sets.
+    prune before the full Hamming check; its limit, four deviations, loses about 0.0001 of pairs at 0.8. Every pair of
+    different fingerprints is checked on the sets before it links.
 
     Rows without an id stay; texts without words are one group; ids are taken to be unique.
     """
@@ -468,7 +462,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
             named = classes.join(some, "least", "left_semi").join(root, "least", "left").select("fp", "size", "keys", "least", F.coalesce("root", "least").alias("root"))
         found = written(wide_links(named, similarity, partners=partners), "links")
         let_go(docs.sparkSession)
-        edges = found.where("sure").select("u", "v").union(checked(found.where("NOT sure").select("u", "v"), docs, shingle, similarity))
+        edges = checked(found, docs, shingle, similarity)
         if root is not None:
             edges = edges.union(root.select("least", "root"))
         root = components(edges).where("node <> root").select(F.col("node").alias("least"), "root")
