@@ -408,3 +408,12 @@ def test_no_pair_links_by_its_fingerprints_alone(spark):
     assert bits[near].max() <= 21
     data = [(2 * i + k, t) for i, n in enumerate(near) for k, t in enumerate(texts[n])]
     assert {x.doc_id for x in simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()} == {0, 1, 2, 3}
+
+
+def test_hosts_without_outcomes_inherit(spark):
+    hosts = ["new.bad.org", "bad.org", "new.fine.org", "other.org", "x.worse", "ok.fr", "new.fr", "n.xyz"]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id long, url string")
+    seen = [("bad.org", 1)] * 90 + [("fine.org", 0)] * 90 + [("a.worse", 1)] * 90 + [("ok.fr", 0)] * 90
+    out = by_id(urls.judge(pages, spark.createDataFrame(seen, "host string, bad long")))
+    assert [out[i].verdict for i in range(len(hosts))] == ["block", "block", "allow", "allow", "block", "allow", "allow", "allow"]
+    assert [out[i].n for i in range(len(hosts))] == [90, 90, 90, 180, 90, 90, 90, 360]

@@ -4,11 +4,12 @@ Page outcomes (bad or not) are counted by host, registered domain and suffix. Go
 pages to suffix, domain and host, each level's rate is shrunk to the one above through a
 beta-binomial prior of ``strength`` pseudo-pages: mean = (bad + strength * mean above) / (n + strength).
 A host is blocked if the lower bound of its posterior, mean - z * standard deviation of the beta
-distribution, is above ``threshold``. Hosts without an outcome inherit from the level above.
+distribution, is above ``threshold``. Hosts without an outcome inherit the posterior of the first
+level above that has one: domain, suffix, all pages.
 
 At scale: outcomes are counted with map-side partial sums; levels above are sums of the host table,
-never of pages again; the page table meets the host table in one join, which adaptive execution
-splits for a hot host.
+never of pages again; the different hosts of the pages meet the levels, and the page table meets
+those hosts in one join, which adaptive execution splits for a hot host.
 
 Cases: a null url, or one without ``://``, has empty host and path and no rule; its host is the empty
 host. Null outcomes don't count. Repeated rows are judged each. An empty table gives no rows.
@@ -54,19 +55,30 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def reputation(outcomes: DataFrame, strength: float = 20.0, z: float = 1.645) -> DataFrame:
-    """``outcomes`` (host, bad) to one row for each host: n, bad, rate and lower bound of the posterior."""
+def reputation(hosts: DataFrame, outcomes: DataFrame, strength: float = 20.0, z: float = 1.645) -> DataFrame:
+    """One row for each different host of ``hosts`` (host): n, bad, rate and lower bound of the posterior by ``outcomes`` (host, bad).
+
+    They are those of the host, else of its domain, else of its suffix, else of all pages; null without any outcome.
+    """
     seen = only(outcomes, host="string", bad="long").where("bad is not null")
-    hosts = seen.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("n"), F.sum("bad").alias("b"))
-    hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "b")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("b").alias("db"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
-    every = suffixes.agg(((F.sum("sb") + 1.0) / (F.sum("sn") + 2.0)).alias("r")).scalar()
-    suffixes = suffixes.select("suffix", ((F.col("sb") + strength * every) / (F.col("sn") + strength)).alias("sr"))
-    domains = domains.join(suffixes, "suffix").select("domain", ((F.col("db") + strength * F.col("sr")) / (F.col("dn") + strength)).alias("dr"))
-    hosts = hosts.join(domains, "domain").withColumn("rate", (F.col("b") + strength * F.col("dr")) / (F.col("n") + strength))
+    known = seen.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("*").alias("n"), F.sum("bad").alias("b"))
+    known = known.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "b")
+    domains = known.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b"))
+    rate = (F.sum("b") + 1.0) / (F.sum("n") + 2.0)
+    every = suffixes.agg(F.when(F.count("*") > 0, F.struct(F.sum("n").alias("n"), F.sum("b").alias("b"), rate.alias("r")))).scalar()
+
+    def level(above: Column) -> Column:
+        return F.struct("n", "b", ((F.col("b") + strength * above) / (F.col("n") + strength)).alias("r"))
+
+    suffixes = suffixes.select("suffix", level(every["r"]).alias("s"))
+    domains = domains.join(suffixes, "suffix").select("domain", level(F.col("s.r")).alias("d"))
+    known = known.join(domains, "domain").select("host", level(F.col("d.r")).alias("h"))
+    rows = only(hosts, host="string").distinct().withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    rows = rows.join(known, "host", "left").join(domains, "domain", "left").join(suffixes, "suffix", "left")
+    rows = rows.select("host", F.coalesce("h", "d", "s", every).alias("x")).select("host", "x.n", F.col("x.b").alias("bad"), F.col("x.r").alias("rate"))
     sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + strength + 1.0))
-    return hosts.select("host", "n", F.col("b").alias("bad"), "rate", (F.col("rate") - z * sd).alias("lower"))
+    return rows.withColumn("lower", F.col("rate") - z * sd)
 
 
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
@@ -77,9 +89,9 @@ def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, threshold: float = 0.5, strength: float = 20.0, z: float = 1.645, rules=RULES) -> DataFrame:
-    """For each page: host, path, rule, verdict (the rule's, else the reputation's), and the posterior of its host."""
-    known = reputation(outcomes, strength, z).select("host", "n", "bad", "rate", "lower")
+    """For each page: host, path, rule, verdict (the rule's, else the reputation's), and the posterior of its host or of the level that the host inherits from."""
     rows = only(pages, page_id="long", url="string").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    known = reputation(rows, outcomes, strength, z)
     rows = rows.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)).join(known, "host", "left")
     verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("lower") > threshold, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "n", "bad", "rate", "lower")
