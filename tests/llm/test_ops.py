@@ -417,3 +417,10 @@ def test_hosts_without_outcomes_inherit(spark):
     out = by_id(urls.judge(pages, spark.createDataFrame(seen, "host string, bad long")))
     assert [out[i].verdict for i in range(len(hosts))] == ["block", "block", "allow", "allow", "block", "allow", "allow", "allow"]
     assert [out[i].n for i in range(len(hosts))] == [90, 90, 90, 180, 90, 90, 90, 360]
+
+
+def test_short_texts_beside_a_large_source_meet_their_target(spark):
+    large = spark.range(100).selectExpr("id AS doc_id", "repeat('w ', 80000) AS text", "'b' AS source")
+    small = spark.range(1000, 1100).selectExpr("id AS doc_id", "'one two three four five' AS text", "'a' AS source")
+    g = mixture.mix(large.union(small)).toPandas().groupby("source").agg(t=("target", "first"), k=("taken", "sum"))
+    assert g.t["a"] == 1500 and (g.t - g.k).abs().max() <= 16

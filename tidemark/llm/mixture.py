@@ -6,10 +6,11 @@ repeats that stream ``max_repeats`` times; its quota of consecutive blocks is ta
 start, cyclically. So every block is whole, no word is taken more often than ``max_repeats`` times,
 and none is repeated before the shard's whole stream was used.
 
-At scale: one pass over the texts leaves a slim table (id, source, size). The number of shards grows
-with the square root of all words, so both a shard's rows and a source's list of shards stay small
-beside the corpus; a source with a third of all rows spreads over all shards. The driver holds one
-entry for each source, which is the mixture's own configuration.
+At scale: one pass over the texts leaves a slim table (id, source, size). A source's number of shards
+grows with the square root of its own words, so both a shard's rows and a source's list of shards stay
+small beside the corpus, and a shard of a small source still holds many blocks, of which rounding loses
+less than one. Documents without words, which no block can hold, are spread by the corpus's words.
+The driver holds one entry for each source, which is the mixture's own configuration.
 
 Cases: null text has size 0; null source is a source of its own, ordered last; repeated rows are
 documents of their own; an empty table gives no rows; a source without words has target 0 and takes 0.
@@ -88,9 +89,9 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (1, 2, 3), max_repeats: int
     keys = sorted(by_source, key=lambda k: (k == "n", k))
     sizes = [by_source[k] for k in keys]
     goal = targets(sizes, [cycle[i % len(cycle)] for i in range(len(keys))], max_repeats)
-    shards = max(1, math.isqrt(sum(sizes) // 1024))
-
-    placed = slim.withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards)).cast("int"))
+    shards = docs.sparkSession.createDataFrame([(k, max(1, math.isqrt(n // 1024))) for k, n in by_source.items()], "_key string, _shards long")
+    spread = F.when(F.col("size") > 0, F.col("_shards")).otherwise(max(1, math.isqrt(sum(sizes) // 1024)))
+    placed = slim.join(F.broadcast(shards), "_key").withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), spread).cast("int")).drop("_shards")
     by_shard = placed.groupBy("_key", "_shard").agg(F.sum("size").alias("n"))
     room = {r._key: r.n for r in by_shard.groupBy("_key").agg(F.sum(F.expr(f"({max_repeats} * n) div {block_words}")).alias("n")).collect()}
     quota = apportion(np.array(goal), np.array([room[k] for k in keys], np.int64), round(sum(sizes) / block_words)) if keys else []
