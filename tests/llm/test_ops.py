@@ -352,22 +352,63 @@ def test_near_copies_of_five_words_against_all_pairs(spark):
 def test_near_duplicate_stage_on_hard_rows(spark, hard, none):
     kept = simhash.keep_one(hard)
     assert kept.columns == hard.columns
-    assert sorted(-1 if x.doc_id is None else x.doc_id for x in kept.collect()) == [-1, 0, 0, 0, 1, 4, 7, 8, 9, 10]  # 5 shares 13 of 15 shingles with 0
+    assert sorted(-1 if x.doc_id is None else x.doc_id for x in kept.collect()) == [0, 1, 4, 7, 8, 9, 10]  # 5 shares 13 of 15 shingles with 0; one of the equal rows stays, and none for their copy without an id
     assert simhash.keep_one(none).collect() == []
 
 
-@pytest.mark.parametrize("cells, small", [(20_000, 128), (20_000, 2), (7, 2)])
-def test_cells_connect_what_is_near(spark, cells, small):
+def _wide_rows(fps):
+    return [(i, bytearray(x.tobytes()), 100, None) for i, x in enumerate(fps)], "root long, fp binary, size int, keys array<long>"
+
+
+@pytest.mark.parametrize("cells", [20_000, 7])
+def test_cells_connect_what_is_near(spark, cells):
     r = np.random.default_rng(5)
     base = r.integers(0, 1 << 63, (30, simhash.WORDS)).astype(np.uint64)
     fps = np.repeat(base, 8, axis=0)
     for x in fps:
         for bit in r.integers(0, 256, 6):
             x[bit // 64] ^= np.uint64(1 << int(bit % 64))
-    rows = [(bytearray(x.tobytes()), 100, i) for i, x in enumerate(fps)]
-    e = simhash.wide_links(spark.createDataFrame(rows, "fp binary, size int, least long"), 0.8, cells, small).toPandas()
-    got = simhash.roots(len(fps), e.u.to_numpy(), e.v.to_numpy())
-    assert (got == np.arange(len(fps)) // 8 * 8).all()
+    classes = spark.createDataFrame(*_wide_rows(fps))
+    for parts in ([None], [True, False]):
+        e = [simhash.candidate_links(classes, 0.8, cells, x).toPandas() for x in parts]
+        u, v = (np.concatenate([x[c].to_numpy() for x in e]) for c in "uv")
+        assert (simhash.roots(len(fps), u, v) == np.arange(len(fps)) // 8 * 8).all()
+
+
+def test_one_group_gives_no_more_edges_than_rows(spark):
+    r = np.random.default_rng(6)
+    fps = np.repeat(r.integers(0, 1 << 63, (1, simhash.WORDS)).astype(np.uint64), 600, axis=0)
+    for x in fps:
+        for bit in r.integers(0, 256, 3):
+            x[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    fps = np.unique(fps, axis=0)
+    e = simhash.candidate_links(spark.createDataFrame(*_wide_rows(fps)).coalesce(1)).toPandas()
+    assert len(e) <= 8 * len(fps) and (simhash.roots(len(fps), e.u.to_numpy(), e.v.to_numpy()) == 0).all()
+
+
+@pytest.mark.parametrize("block", [4000, 40])
+def test_checked_links_against_all_pairs(spark, block):
+    r, sets = random.Random(7), []
+    base = [f"w{i}" for i in range(130)]
+    for _ in range(150):
+        w = list(base)
+        for _ in range(r.randrange(0, 9)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        sets.append(" ".join(w))
+    fp = simhash.wide_fingerprints_of([set(simhash.shingle_hashes(t.encode(), 5)) for t in sets])[0]
+    rows = [(i, 0, bytearray(x.tobytes()), t) for i, (x, t) in enumerate(zip(fp, sets))]
+    e = simhash.checked_links(simhash.shingle_sets(spark.createDataFrame(rows, "node long, root long, fp binary, text string")), block_rows=block).toPandas()
+    s = [_five(t) for t in sets]
+    a, b = zip(*((i, j) for i in range(len(s)) for j in range(i) if 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j])))
+    assert all(5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j]) for i, j in zip(e.u, e.v))
+    assert (simhash.roots(len(s), e.u.to_numpy(), e.v.to_numpy()) == simhash.roots(len(s), np.array(a), np.array(b))).all()
+
+
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    x, y, z = ("one text " * 9 + "x").strip(), " ".join(f"y{i}" for i in range(20)), " ".join(f"z{i}" for i in range(20))
+    data = [(1, x), (2, x), (2, y), (None, y), (None, z), (None, z), (3, z + " more"), (4, None), (4, None)]
+    out = simhash.keep_one(spark.createDataFrame(data, "DOC_ID long, text string")).collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(1, x), (2, y), (3, z + " more"), (4, None)], key=str)
 
 
 def test_chains_lose_no_pair():
@@ -402,7 +443,7 @@ def test_no_pair_links_by_its_fingerprints_alone(spark):
     # 7 of 9 shingles shared, 0.778; the two of many such whose fingerprints are nearest
     made = [[f"w{r.randrange(10**9)}" for _ in range(12)] for _ in range(6000)]
     texts = [(" ".join(w), " ".join(w[:11] + ["other"])) for w in made]
-    fp = simhash.wide_fingerprints_of([x.encode() for p in texts for x in p])[0]
+    fp = simhash.wide_fingerprints_of([set(simhash.shingle_hashes(x.encode(), 5)) for p in texts for x in p])[0]
     bits = np.bitwise_count(fp[::2] ^ fp[1::2]).sum(axis=1)
     near = np.argsort(bits)[:2]
     assert bits[near].max() <= 21

@@ -57,6 +57,35 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
             yield batch.slice(start)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
+    """The rows of ``batches``, sorted by integer ``keys``, in tables of about ``rows`` rows that never part rows with equal keys."""
+
+    def cut(t: pa.Table) -> int:
+        """Where the last group begins."""
+        new = np.zeros(t.num_rows - 1, bool)
+        for k in keys:
+            x = t.column(k).to_numpy()
+            new |= x[1:] != x[:-1]
+        at = np.flatnonzero(new)
+        return int(at[-1]) + 1 if len(at) else 0
+
+    held: list[pa.RecordBatch] = []
+    n, wait = 0, rows
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= wait:
+            t = pa.Table.from_batches(held)
+            if at := cut(t):
+                yield t.slice(0, at)
+                held, n = t.slice(at).to_batches(), n - at
+            wait = max(rows, 2 * n)  # a group that is larger than a table is looked through again only when it has doubled
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5; a null id is the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(5)).cast("int")

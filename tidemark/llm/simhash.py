@@ -25,9 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import only, slices, text_bytes
+from tidemark.llm.common import only, slices, text_bytes, whole_groups
 from tidemark.sources.shared import let_go, written
 
 
@@ -152,22 +152,19 @@ def links(prints: DataFrame, max_bits: int = 3, cell_rows: int = 20_000) -> Data
     rows = rows.select("fp", "slot", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        fp, slot, x, y = (t.column(c).to_numpy() for c in ("fp", "slot", "x", "y"))
-        names, node = np.unique(fp, return_inverse=True)
-        root = np.arange(len(names))
-        cells = np.lexsort((slot, y, x))
-        cuts = np.flatnonzero((np.diff(x[cells]) != 0) | (np.diff(y[cells]) != 0)) + 1
-        for own in np.split(cells, cuts):
-            a, b = linked_in_cells(slot[own], fp[own].view(np.uint64), max_bits)
-            root = roots(len(names), np.concatenate([node[own[a]], np.arange(len(names))]), np.concatenate([node[own[b]], root]))
-        far = np.flatnonzero(root != np.arange(len(names)))
-        yield pa.record_batch([pa.array(names[far]), pa.array(names[root[far]])], ["u", "v"])
-
-    return rows.repartition("slot", "x", "y").mapInArrow(run, "u long, v long")
+        for t in whole_groups(batches, ("slot", "x", "y"), 1 << 18):
+            fp, slot, x, y = (t.column(c).to_numpy() for c in ("fp", "slot", "x", "y"))
+            names, node = np.unique(fp, return_inverse=True)
+            root = np.arange(len(names))
+            cells = np.lexsort((slot, y, x))
+            cuts = np.flatnonzero((np.diff(x[cells]) != 0) | (np.diff(y[cells]) != 0)) + 1
+            for own in np.split(cells, cuts):
+                a, b = linked_in_cells(slot[own], fp[own].view(np.uint64), max_bits)
+                root = roots(len(names), np.concatenate([node[own[a]], np.arange(len(names))]), np.concatenate([node[own[b]], root]))
+            far = np.flatnonzero(root != np.arange(len(names)))
+            yield pa.record_batch([pa.array(names[far]), pa.array(names[root[far]])], ["u", "v"])
+
+    return rows.repartition("slot", "x", "y").sortWithinPartitions("slot", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,6 +208,8 @@ def digests(found: DataFrame) -> DataFrame:
 WORDS, RINGS, WIDTH = 4, 8, 16
 #: Texts of at most so many different shingles are found by shingles and not by cells.
 SHORT = 400
+#: So many of a text's least hashes are its first cells.
+EARLY = 4
 
 
 def bits_for(similarity: float, deviations: float, size=np.inf):
@@ -232,11 +231,10 @@ def prefix(hashes: set[int], similarity: float) -> list[int]:
     return [h >> 2 | 1 << 62 for h in sorted(hashes)[: n - math.ceil(similarity * n - 1e-9) + 1]]
 
 
-def wide_fingerprints_of(texts: list[bytes], shingle: int = 5, similarity: float = 0.8) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """For each text a row of WORDS 64-bit words, by majority of its different shingles, how many those are, and its ``prefix``."""
-    hashes = [set(shingle_hashes(t, shingle)) for t in texts]
+def wide_fingerprints_of(hashes: list[set[int]], similarity: float = 0.8) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """For each text's set of shingle hashes a row of WORDS 64-bit words, by majority, how many hashes there are, and the ``prefix``."""
     n = np.array([len(h) for h in hashes], np.int64)
-    out = np.zeros((len(texts), WORDS), np.uint64)
+    out = np.zeros((len(hashes), WORDS), np.uint64)
     some = np.flatnonzero(n)
     if len(some):
         flat = np.fromiter((x for h in hashes for x in h), np.uint64, int(n.sum()))
@@ -253,17 +251,30 @@ def wide_fingerprints_of(texts: list[bytes], shingle: int = 5, similarity: float
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, fp, size, keys) of ``docs`` (doc_id, text): the wide fingerprint's bytes, the number of different shingles, and the ``prefix``."""
+    """Of each row of ``docs`` (doc_id, text): id (a null one is greater than all), digest of its text, c1 and c2, the digest of its set of shingles, fp, size (different shingles) and keys (the ``prefix``)."""
+    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 19):
-            raw, at = text_bytes(part.column(1))
+            raw, at = text_bytes(part.column(2))
             data = raw.tobytes()
-            fp, n, keys = wide_fingerprints_of([data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], shingle, similarity)
-            columns = [part.column(0), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(n.astype(np.int32)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, ["doc_id", "fp", "size", "keys"])
+            hashes = [set(shingle_hashes(data[a:b], shingle)) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            fp, n, keys = wide_fingerprints_of(hashes, similarity)
+            sets = np.frombuffer(b"".join(xxhash.xxh3_128_digest(np.sort(np.fromiter(h, np.uint64, len(h))).tobytes()) for h in hashes), np.int64).reshape(-1, 2)
+            columns = [pa.array(np.ascontiguousarray(sets[:, 0])), pa.array(np.ascontiguousarray(sets[:, 1])), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array(n.astype(np.int32)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.record_batch([part.column(0), part.column(1), *columns], ["id", "digest", "c1", "c2", "fp", "size", "keys"])
+
+    rows = only(docs, doc_id="long", text="string").select(_id(F.col("doc_id")).alias("id"), _digest(F.col("text")).alias("digest"), "text")
+    return rows.mapInArrow(run, "id long, digest long, c1 long, c2 long, fp binary, size int, keys array<long>")
+
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, fp binary, size int, keys array<long>")
+def _id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1))
+
+
+def _digest(text: Column) -> Column:
+    """Tells apart the texts of one id."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _wide(col: pa.Array) -> np.ndarray:
@@ -298,176 +309,220 @@ def ring_linked(a: np.ndarray, b: np.ndarray, max_bits: int | np.ndarray) -> np.
     return found
 
 
-def grown(fp: np.ndarray, size: np.ndarray, limits: np.ndarray, ratio: float, block: int = 1 << 19) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect one cell's rows as all its links do: each row is linked to the first that reaches it. ``limits`` are the rows' most bits."""
-    out = []
-    rest = np.arange(len(fp))
+def grown(fp: np.ndarray, size: np.ndarray, limits: np.ndarray, ratio: float, sure=None, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect rows as all their links do: each row is linked to the first that reaches it.
+
+    Rows link within the greater of their ``limits`` (bits), if the smaller ``size`` has ``ratio`` of the greater, and
+    if ``sure`` (a row, an array of rows) says so. With ``side`` only rows of different sides link.
+    """
+    first, second = [], []
+    rest = np.argsort(size, kind="stable")
     while len(rest):
-        todo, rest, take = rest[:1], rest[1:], 1
-        while len(todo) and len(rest):
-            own, todo = todo[:take], todo[take:]
-            hit = np.zeros(len(rest), bool)
-            for part in range(0, len(rest), block):
-                r = rest[part : part + block]
-                a, b = np.repeat(own, len(r)), np.tile(r, len(own))
-                ok = np.minimum(size[a], size[b]) >= ratio * np.maximum(size[a], size[b])
-                a, b, at = a[ok], b[ok], np.flatnonzero(ok) % len(r)
-                ok = ring_linked(fp[a], fp[b], np.maximum(limits[a], limits[b]))
-                a, b, at = a[ok], b[ok], at[ok]
-                at, one = np.unique(at, return_index=True)
-                out.append((a[one], b[one]))
-                hit[part + at] = True
-            todo, rest = np.concatenate([rest[hit], todo]), rest[~hit]
-            take = max(1, min(2 * take, block // max(1, len(rest))))
-    return out
+        todo, rest = [int(rest[0])], rest[1:]
+        while todo and len(rest):
+            a = todo.pop()
+            low, high = np.searchsorted(size[rest], [np.ceil(ratio * size[a] - 1e-9), np.floor(size[a] / ratio + 1e-9) + 1])
+            r = rest[low:high]
+            if side is not None:
+                r = r[side[r] != side[a]]
+            if not len(r):
+                continue
+            hit = r[ring_linked(np.broadcast_to(fp[a], (len(r), fp.shape[1])), fp[r], np.maximum(limits[r], limits[a]))]
+            if sure is not None and len(hit):
+                hit = hit[sure(a, hit)]
+            if len(hit):
+                first.append(np.full(len(hit), a))
+                second.append(hit)
+                todo += hit.tolist()
+                gone = np.zeros(len(fp), bool)
+                gone[hit] = True
+                rest = rest[~gone[rest]]
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(first), np.concatenate(second)) if first else (none, none)
 
 
-def wide_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_000, small: int = 128, partners: int = 0) -> DataFrame:
-    """Edges (u, v), u > v, between the ``least`` ids of ``classes`` (fp, size, least, maybe root and keys) that share a cell, differ in ``root`` and may be similar.
+def candidate_links(classes: DataFrame, similarity: float = 0.8, cell_rows: int = 20_000, first: bool | None = None) -> DataFrame:
+    """Edges (u, v) that connect the roots of ``classes`` (root, fp, size, keys) as do all pairs that share a cell and differ in few enough bits.
 
-    Rows enter the cells of their ``keys``; rows over SHORT, or without ``keys``, those of their fingerprints.
-    Pairs up to four standard deviations farther than ``similarity`` demands are given, none of them as sure: all
-    are to be checked. With ``partners`` over 0, a first look, they are few: an
-    id's partners fall in so many parts by hash, and of each part it keeps the nearest; in a cell of over ``small``
-    rows only pairs of a tree are looked at. With 0, all pairs are given.
+    Rows enter the cells of their ``keys``; rows over SHORT, or without ``keys``, those of their fingerprints. Of
+    both, ``first`` takes only the first few, False the others, None all. A task gives a forest, so its edges are
+    never more than its rows, however many pairs there are.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = 64 * WORDS // WIDTH
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                size, keys = part.column(1).to_numpy(), part.column(4)
+                size, keys = part.column(2).to_numpy(), part.column(3)
                 wide = np.flatnonzero((size > SHORT) | keys.is_null().to_numpy(zero_copy_only=False))
-                cells = wide_slots(_wide(part.column(0).take(pa.array(wide))))
-                slot = np.concatenate([cells.ravel(), keys.flatten().to_numpy()])
-                which = pa.array(np.concatenate([np.repeat(wide, cells.shape[1]), np.repeat(np.arange(len(size)), keys.value_lengths().fill_null(0).to_numpy())]))
-                yield pa.record_batch([pa.array(slot), *(part.column(k).take(which) for k in range(4))], ["slot", "fp", "size", "least", "root"])
-
-    named = classes if "root" in classes.columns else classes.withColumn("root", F.col("least"))
-    named = named if "keys" in classes.columns else named.withColumn("keys", F.lit(None).cast("array<long>"))
-    rows = named.select("fp", "size", "least", "root", "keys").mapInArrow(deal, "slot long, fp binary, size int, least long, root long")
+                cells = wide_slots(_wide(part.column(1).take(pa.array(wide))))
+                n = keys.value_lengths().fill_null(0).to_numpy()
+                which, slot = np.repeat(np.arange(len(size)), n), keys.flatten().to_numpy()
+                if first is not None:
+                    cells = cells[:, :each] if first else cells[:, each:]
+                    early = np.arange(len(slot)) - np.repeat(np.cumsum(n) - n, n) < EARLY
+                    pick = early if first else ~early
+                    which, slot = which[pick], slot[pick]
+                to = pa.array(np.concatenate([np.repeat(wide, cells.shape[1]), which]))
+                yield pa.record_batch([pa.array(np.concatenate([cells.ravel(), slot])), *(part.column(k).take(to) for k in range(3))], ["slot", "root", "fp", "size"])
+
+    rows = classes.select("root", "fp", "size", "keys").mapInArrow(deal, "slot long, root long, fp binary, size int")
     # written first, so that the join's plan knows its size
     large = rows.groupBy("slot").count().where(F.col("count") > cell_rows).select("slot", F.ceil(F.col("count") / cell_rows).cast("int").alias("k"))
     rows = rows.join(written(large, "cells"), "slot", "left").withColumn("_own", F.pmod(F.xxhash64("fp"), F.coalesce("k", F.lit(1))).cast("int"))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
-    rows = rows.select("slot", "fp", "size", "least", "root", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"))
-
-    def edges(pairs: list[tuple[np.ndarray, np.ndarray]], fp: np.ndarray, least: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not pairs:
-            return
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        bits = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1).astype(np.int64)
-        names, node = np.unique(least, return_inverse=True)
-        a, b = node[a], node[b]
-        a, b, bits = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([bits, bits])
-        if partners:
-            part = a * partners + (names[b] * 0x9E3779B1 >> 20) % partners
-            o = np.lexsort((bits, part))
-            o = o[np.unique(part[o], return_index=True)[1]]
-        else:
-            o = np.unique(np.where(a > b, a * len(names) + b, -1), return_index=True)[1]
-            o = o[a[o] > b[o]]
-        yield pa.record_batch([pa.array(names[a[o]]), pa.array(names[b[o]]), pa.array(bits[o].astype(np.int32))], ["u", "v", "bits"])
+    rows = rows.select("slot", "root", "fp", "size", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        slot, size, least, root, x, y = (t.column(c).to_numpy().astype(np.int64) for c in ("slot", "size", "least", "root", "x", "y"))
-        fp = _wide(t.column("fp"))
-        o = np.lexsort((size, y, x, slot))
-        slot, size, least, root, x, y, fp = slot[o], size[o], least[o], root[o], x[o], y[o], fp[o]
-        limits = bits_for(similarity, 4, size)  # falls with size, so that the smaller of a pair has the higher
-        new = np.concatenate([[True], (slot[1:] != slot[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-        cell, first = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(slot))
-        key = (cell << 32) | size
-        n = np.searchsorted(key, (cell << 32) | np.floor(size / similarity).astype(np.int64), "right") - np.arange(len(key)) - 1
-        big = np.flatnonzero(np.diff(first) > small) if partners else []
-        n[np.isin(cell, big)] = 0
-        pairs: list[tuple[np.ndarray, np.ndarray]] = []
-        todo = np.flatnonzero(n)
-        for pick in np.split(todo, np.flatnonzero(np.diff(np.cumsum(n[todo]) >> 18)) + 1) if len(todo) else []:
-            k = n[pick]
-            a = np.repeat(pick, k)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
-            ok = root[a] != root[b]
-            a, b = a[ok], b[ok]
-            ok = ring_linked(fp[a], fp[b], limits[a])
-            pairs.append((a[ok], b[ok]))
-            if sum(len(x) for x, _ in pairs) > 1 << 20:
-                yield from edges(pairs, fp, least)
-                pairs = []
-        for c in big:
-            own = np.arange(first[c], first[c + 1])
-            own = own[np.argsort(least[own])]
-            pairs += [(own[a], own[b]) for a, b in grown(fp[own], size[own], limits[own], similarity)]
-        yield from edges(pairs, fp, least)
-
-    out = rows.repartition("slot", "x", "y").mapInArrow(run, "u long, v long, bits int")
-    if partners:
-        # equal bits are told apart by hash, so that no id is the partner of all
-        near = F.min(F.struct("bits", F.xxhash64("u", "v").alias("h"), "v")).alias("x")
-        out = out.groupBy("u", F.pmod(F.xxhash64("v"), F.lit(partners)).alias("part")).agg(near).select("u", "x.v")
-    return out.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-
-def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, hashes) of ``docs`` (doc_id, text): 32 bits of the hash of each different shingle."""
+        for t in whole_groups(batches, ("slot", "x", "y"), 1 << 17):
+            slot, size, root, x, y = (t.column(c).to_numpy().astype(np.int64) for c in ("slot", "size", "root", "x", "y"))
+            fp = _wide(t.column("fp"))
+            o = np.lexsort((size, y, x, slot))
+            slot, size, root, x, y, fp = slot[o], size[o], root[o], x[o], y[o], fp[o]
+            limits = bits_for(similarity, 4, size)  # falls with size, so that the smaller of a pair has the higher
+            names, node = np.unique(root, return_inverse=True)
+            held = np.arange(len(names))
+            new = np.concatenate([[True], (slot[1:] != slot[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+            cell, begin = np.cumsum(new) - 1, np.append(np.flatnonzero(new), len(slot))
+            key = (cell << 32) | size
+            n = np.searchsorted(key, (cell << 32) | np.floor(size / similarity + 1e-9).astype(np.int64), "right") - np.arange(len(key)) - 1
+            # all pairs of a small cell at once; of a large one a forest, row by row: both connect the same
+            big = np.flatnonzero(np.diff(begin) > 64)
+            n[np.isin(cell, big)] = 0
+            todo = np.flatnonzero(n)
+            for pick in np.split(todo, np.flatnonzero(np.diff(np.cumsum(n[todo]) >> 18)) + 1) if len(todo) else []:
+                k = n[pick]
+                a = np.repeat(pick, k)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(k) - k, k)
+                ok = held[node[a]] != held[node[b]]
+                a, b = a[ok], b[ok]
+                ok = ring_linked(fp[a], fp[b], limits[a])
+                held = roots(len(names), np.concatenate([node[a[ok]], np.arange(len(names))]), np.concatenate([node[b[ok]], held]))
+            for c in big:
+                own = np.arange(begin[c], begin[c + 1])
+                if (held[node[own]] == held[node[own[0]]]).all():
+                    continue
+                a, b = grown(fp[own], size[own], limits[own], similarity)
+                held = roots(len(names), np.concatenate([node[own[a]], np.arange(len(names))]), np.concatenate([node[own[b]], held]))
+            far = np.flatnonzero(held != np.arange(len(names)))
+            yield pa.record_batch([pa.array(names[far]), pa.array(names[held[far]])], ["u", "v"])
+
+    return rows.repartition("slot", "x", "y").sortWithinPartitions("slot", "x", "y").mapInArrow(run, "u long, v long").distinct()
+
+
+def shingle_sets(texts: DataFrame, shingle: int = 5) -> DataFrame:
+    """``texts`` (node, root, fp, text) with n and hashes, 32 bits of the hash of each different shingle, in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", 1 << 19):
-            raw, at = text_bytes(part.column(1))
+            raw, at = text_bytes(part.column(3))
             data = raw.tobytes()
             sets = [np.unique(np.array(shingle_hashes(data[a:b], shingle), np.uint64).astype(np.uint32)).view(np.int32) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["doc_id", "hashes"])
+            n = np.array([len(x) for x in sets], np.int32)
+            yield pa.record_batch([*(part.column(k) for k in range(3)), pa.array(n), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "root", "fp", "n", "hashes"])
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, hashes array<int>")
+    return texts.select("node", "root", "fp", "text").mapInArrow(run, "node long, root long, fp binary, n int, hashes binary")
 
 
-def checked(pairs: DataFrame, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The ``pairs`` (u, v) of ids whose texts in ``docs`` have this Jaccard similarity."""
-    # written first, so that the plan knows their size and shuffles no texts where the ids can be broadcast
-    nodes = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct(), "nodes")
-    sets = written(shingle_sets(only(docs, doc_id="long", text="string").join(nodes, "doc_id", "left_semi"), shingle), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b")), "v")
-    same = both.select("u", "v", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("all"))
-    return same.where(F.col("n") >= similarity * (F.col("all") - F.col("n"))).select("u", "v")
+def checked_links(sets: DataFrame, similarity: float = 0.8, block_rows: int = 4000, block_shingles: int = 1 << 21) -> DataFrame:
+    """Edges (u, v) that connect the nodes of ``sets`` (node, root, fp, n, hashes) as do all pairs of one root whose sets have this Jaccard similarity.
 
+    The rows of a root meet in one group, or, where they are many, in blocks that are compared two by two in
+    different tasks. A group gives a forest.
+    """
+    sums = sets.groupBy("root").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("long")).alias("all"))
+    k = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("all") / block_shingles), F.lit(1)).cast("int")
+    rows = sets.join(written(sums.select("root", k.alias("k")).where("k > 1"), "blocks"), "root", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("root", F.least("own", "_other").alias("x"), F.greatest("own", "_other").alias("y"), "own", "node", "fp", "n", "hashes")
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is the smallest of their group of near-duplicates.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ("root", "x", "y"), 2000):
+            root, x, y, own, node, n = (t.column(c).to_numpy().astype(np.int64) for c in ("root", "x", "y", "own", "node", "n"))
+            fp, limits = _wide(t.column("fp")), bits_for(similarity, 4, n)
+            hashes = [np.frombuffer(h, np.uint32) for h in t.column("hashes").to_pylist()]
+            cut = np.flatnonzero((root[1:] != root[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            u, v = [], []
+            for group in np.split(np.arange(len(root)), cut):
+                mine = [hashes[i] for i in group]
+
+                def sure(a: int, others: np.ndarray) -> np.ndarray:
+                    out = np.zeros(len(others), bool)
+                    for i in range(0, len(others), 2000):
+                        part = others[i : i + 2000]
+                        size = n[group[part]]
+                        flat = np.concatenate([mine[b] for b in part])
+                        if not len(mine[a]):
+                            out[i : i + 2000] = size == 0
+                            continue
+                        at = np.minimum(np.searchsorted(mine[a], flat), len(mine[a]) - 1)
+                        same = np.concatenate([[0], np.cumsum(mine[a][at] == flat)])
+                        ends = np.cumsum(size)
+                        both = same[ends] - same[ends - size]
+                        out[i : i + 2000] = both >= similarity * (len(mine[a]) + size - both) - 1e-9
+                    return out
+
+                a, b = grown(fp[group], n[group], limits[group], similarity, sure, own[group] if x[group[0]] != y[group[0]] else None)
+                u.append(node[group[a]])
+                v.append(node[group[b]])
+            yield pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+    return rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def near_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and (c1, c2, node, id, digest, root) for each different set of shingles: root tells its group, id and digest the first row that has it."""
+    fps = written(wide_fingerprints(docs, shingle, similarity), "fingerprints")
+    one = F.min(F.struct("id", "digest")).alias("pick")
+    classes = fps.groupBy("c1", "c2").agg(one, *(F.first(c).alias(c) for c in ("fp", "size", "keys")))
+    classes = written(classes.select("c1", "c2", "pick.id", "pick.digest", "fp", "size", "keys", F.monotonically_increasing_id().alias("node")), "classes")
+    early = components(candidate_links(classes.withColumn("root", F.col("node")), similarity, first=True))
+    named = classes.join(early, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    late = candidate_links(named, similarity, first=False)
+    near = components(early.select(F.col("node").alias("u"), F.col("root").alias("v")).union(late))
+    let_go(docs.sparkSession)
+    # a root's own row is missing in ``near``, which has what points to it
+    near = near.union(near.select(F.col("root").alias("node"), "root")).distinct()
+    some = written(classes.join(near, "node").select("node", "root", "fp", "id", "digest"), "candidates")
+    texts = only(docs, doc_id="long", text="string").select(_id(F.col("doc_id")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.join(some, "id").where(_digest(F.col("text")) == F.col("digest"))
+    links = checked_links(written(shingle_sets(texts, shingle), "sets"), similarity)
+    root = components(links)
+    let_go(docs.sparkSession)
+    return fps, classes.select("c1", "c2", "node", "id", "digest").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
-    Similarity is the Jaccard similarity of sets of word shingles. Texts of up to SHORT shingles
-    meet in cells of their least shingle hashes, so many that every pair at 0.8 shares one. Longer ones meet
-    by fingerprints of 256 bits: equal segments of 16 bits in eight orders of the bits, 128 in all, so that a
-    pair at 0.8 meets in one of them with a chance of 0.997, at 0.85 of 0.9998. In a cell pigeonring chains
-    prune before the full Hamming check; its limit, four deviations, loses about 0.0001 of pairs at 0.8. Every pair of
-    different fingerprints is checked on the sets before it links.
 
-    Rows without an id stay; texts without words are one group; ids are taken to be unique.
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each group of near-duplicates: that with the smallest id, of these that with the smallest digest of its text.
+
+    Similarity is the Jaccard similarity of sets of word shingles. Texts of up to SHORT shingles meet in cells of
+    their least shingle hashes, so many that every pair at 0.8 shares one. Longer ones meet by fingerprints of 256
+    bits: equal segments of 16 bits in eight orders of the bits, 128 in all, so that a pair at 0.8 meets in one of
+    them with a chance of 0.997, at 0.85 of 0.9998. In a cell pigeonring chains prune before the full Hamming check;
+    its limit, four deviations, loses about 0.0001 of pairs at 0.8. What so connects is a cluster of candidates: its
+    sets of shingles are brought together, and rows link if their fingerprints pass the chains and their sets are
+    similar enough. No pair links by its fingerprints alone; no step gives pairs, only forests.
+
+    Cases: a null id is greater than all ids; of equal rows (id and text) one stays, and of rows with one id but
+    different texts each is judged by its text; null, empty and wordless texts are one group; an empty table gives
+    no rows.
     """
-    at = [i for i, c in enumerate(docs.columns) if c.lower() == "doc_id"][0]
+    at = {c.lower(): i for i, c in reversed(list(enumerate(docs.columns)))}
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    fps = written(wide_fingerprints(docs, shingle, similarity).where("doc_id IS NOT NULL"), "fingerprints")
-    classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min_by("size", "doc_id").alias("size"), F.min_by("keys", "doc_id").alias("keys")), "classes")
-    # a first look joins most of each group by a few partners of each text; then all pairs of texts still apart are looked at
-    root = None
-    for partners in (8, 0):
-        named = classes
-        if root is not None:
-            # who has a partner keeps one in the first look, so the others have none
-            some = found.select(F.col("u").alias("least")).union(found.select("v")).distinct()
-            named = classes.join(some, "least", "left_semi").join(root, "least", "left").select("fp", "size", "keys", "least", F.coalesce("root", "least").alias("root"))
-        found = written(wide_links(named, similarity, partners=partners), "links")
-        let_go(docs.sparkSession)
-        edges = checked(found, docs, shingle, similarity)
-        if root is not None:
-            edges = edges.union(root.select("least", "root"))
-        root = components(edges).where("node <> root").select(F.col("node").alias("least"), "root")
-        let_go(docs.sparkSession)
-    root = root.select("least", F.lit(True).alias("far"))
-    gone = fps.join(classes.join(root, "least", "left").select("fp", "least", "far"), "fp").where("far OR doc_id <> least").select("doc_id").distinct()
-    gone = written(gone, "gone")  # as in checked
-    return plain.join(gone, F.col(f"c{at}") == F.col("doc_id"), "left_anti").toDF(*docs.columns)
+    plain = plain.withColumns({"_id": _id(F.col(f"c{at['doc_id']}")), "_digest": _digest(F.col(f"c{at['text']}"))})
+    fps, groups = near_groups(docs, shingle, similarity)
+    groups = written(groups, "groups")
+    first = groups.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("first"))
+    of = groups.join(first, "root").select("c1", "c2", "first")
+    rows = fps.select("id", "digest", "c1", "c2").join(of, ["c1", "c2"]).select("id", "digest", (F.struct("id", "digest") == F.col("first")).alias("stays"))
+    rows = written(rows, "judged").withColumnsRenamed({"id": "_id", "digest": "_digest"})
+    # written, so that the plan knows their sizes; all but the first are empty where ids are unique
+    by_id = rows.groupBy("_id").agg(F.max("stays").alias("some"), F.min("stays").alias("all"))
+    none = written(by_id.where("not some").select("_id"), "gone")
+    part = written(rows.where("not stays").join(by_id.where("some and not all").select("_id"), "_id", "left_semi").select("_id", "_digest").distinct(), "gone")
+    more = written(rows.where("stays").groupBy("_id", "_digest").count().where("count > 1").select("_id", "_digest"), "repeated")
+    left = plain.join(none, "_id", "left_anti").join(part, ["_id", "_digest"], "left_anti")
+    if not more.isEmpty():
+        left = left.join(more, ["_id", "_digest"], "left_anti").unionByName(left.join(more, ["_id", "_digest"], "left_semi").dropDuplicates(["_id", "_digest"]))
+    return left.drop("_id", "_digest").toDF(*docs.columns)
