@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import only
+from tidemark.llm.common import bound, only, pieces, running
 
 MARK = "␛"
 BEGIN, TURN, PART, END = "<s>", "[INST]", "[/INST]", "</s>"
@@ -45,30 +45,41 @@ def format_chats(turns: DataFrame, trained_role: str = "assistant") -> DataFrame
         "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text")).alias("t")
     )
     sorted_turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    escaped_role = F.transform("ts", lambda t: F.struct(escape(t["role"]).alias("head"), t["text"].alias("text"), t["role"].alias("role")))
-    ts = sorted_turns.select("conv_id", escaped_role.alias("ts"))
 
-    def piece(t: Column, i: Column) -> Column:
-        """A turn's prefix, text and suffix: the prefix opens a merged turn or parts it, the suffix ends it."""
-        before, after = F.get("ts", i - 1)["role"], F.get("ts", i + 1)["role"]
-        prefix = F.when(before.eqNullSafe(t["role"]), F.lit(PART)).otherwise(F.concat(F.lit(TURN), t["head"], F.lit(PART)))
-        suffix = F.when(after.eqNullSafe(t["role"]), F.lit("")).otherwise(F.lit(END))
-        return F.struct(prefix.alias("prefix"), t["text"].alias("text"), suffix.alias("suffix"), (t["role"] == trained_role).alias("trained"))
+    merged = merge_turns(sorted_turns)
+    heads = F.transform("merged", lambda m: F.concat(F.lit(TURN), escape(m["role"]), F.lit(PART)))
+    shaped = merged.select("conv_id", "merged", heads.alias("heads"))
+    text = F.concat(F.lit(BEGIN), F.array_join(F.zip_with("merged", "heads", lambda m, h: F.concat(h, F.array_join(m["texts"], PART), F.lit(END))), ""))
 
-    pieces = ts.select("conv_id", F.transform("ts", piece).alias("ps"))
-    kind = "struct<at:bigint,spans:array<struct<start:bigint,length:bigint>>>"
-    zero = F.expr(f"cast(named_struct('at', {len(BEGIN)}L, 'spans', array()) as {kind})")
+    def length(m: Column, h: Column) -> Column:
+        return F.char_length(h).cast("long") + m["chars"] + len(PART) * (F.size(m["texts"]) - 1) + len(END)
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["prefix"])
-        n = F.char_length(p["text"])
-        span = F.struct(start.cast("long").alias("start"), n.cast("long").alias("length"))
-        return F.struct(
-            (start + n + F.char_length(p["suffix"])).cast("long").alias("at"), F.when(p["trained"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans")
-        ).cast(kind)
+    def spans(m: Column, at: Column) -> Column:
+        """The texts of merged turn ``m``, the first of which begins at ``at``."""
+        sizes = F.transform(m["texts"], lambda x: F.char_length(x).cast("long"))
+        offsets = running(F.transform(sizes, lambda n: n + len(PART)))
+        return F.zip_with(sizes, offsets, lambda n, off: F.struct((at + off).cast("long").alias("start"), n.alias("length")))
 
-    text = F.concat(F.lit(BEGIN), F.array_join(F.transform("ps", lambda p: F.concat(p["prefix"], p["text"], p["suffix"])), ""))
-    return pieces.select("conv_id", text.alias("formatted"), F.aggregate("ps", zero, step)["spans"].alias("loss_spans"))
+    begins = F.zip_with(running(F.zip_with("merged", "heads", length)), "heads", lambda at, h: at + len(BEGIN) + F.char_length(h))
+    trained = F.filter(F.zip_with("merged", begins, lambda m, at: F.struct(m.alias("m"), at.alias("at"))), lambda x: x["m"]["role"] == trained_role)
+    return shaped.select("conv_id", text.alias("formatted"), F.flatten(F.transform(trained, lambda x: spans(x["m"], x["at"]))).alias("loss_spans"))
+
+
+def merge_turns(sorted_turns: DataFrame) -> DataFrame:
+    """(conv_id, ts: array of role, text) to (conv_id, merged): an array of role, texts and chars, one for each stretch of turns of one role.
+
+    A stretch begins where the role changes; its turns are cut out of the array and aggregated.
+    """
+    differs = lambda i: (i == 1) | (F.get("ts", i - 1)["role"] != F.get("ts", i - 2)["role"])
+    begins = sorted_turns.select("conv_id", "ts", F.filter(F.sequence(F.lit(1), F.size("ts")), differs).alias("begins"))
+
+    def stretch(i: Column, j: Column) -> Column:
+        return F.slice("ts", i, F.coalesce(F.get("begins", j + 1), F.size("ts") + 1) - i)
+
+    runs = begins.select("conv_id", F.transform("begins", stretch).alias("runs"))
+    chars = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda n, t: n + F.char_length(t["text"]))
+    one = F.transform("runs", lambda r: F.struct(F.get(r, F.lit(0))["role"].alias("role"), F.transform(r, lambda t: t["text"]).alias("texts"), chars(r).alias("chars")))
+    return runs.select("conv_id", one.alias("merged"))
 
 
 def read_chats(chats: DataFrame) -> DataFrame:
@@ -78,9 +89,9 @@ def read_chats(chats: DataFrame) -> DataFrame:
 
     def texts(m: Column) -> Column:
         parts = F.split(F.substring(m, F.lit(len(TURN) + 1), F.char_length(m)), F.lit(r"\Q" + PART + r"\E"), -1)
-        return F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), lambda x: F.struct(unescape(parts[0]).alias("role"), unescape(x).alias("text")))
+        return bound(parts, lambda ps: bound(unescape(ps[0]), lambda role: F.transform(F.slice(ps, F.lit(2), F.size(ps) - 1), lambda x: F.struct(role.alias("role"), unescape(x).alias("text")))))
 
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    loss = F.transform(pieces(F.col("formatted"), F.col("loss_spans")), unescape)
     return chats.select("conv_id", F.flatten(F.transform(merged, texts)).alias("turns"), loss.alias("loss_texts"), "formatted")
 
 

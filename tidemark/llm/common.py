@@ -108,3 +108,47 @@ def kept_rows(docs: DataFrame, text: str, wanted, size: int = 4 << 20) -> DataFr
             yield part.filter(pa.array(np.asarray(keep, bool)))
 
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def bound(x: Column, f) -> Column:
+    """``f`` of ``x``, which is evaluated once however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def running(xs: Column, add=lambda a, b: a + b, chunk: int = 256) -> Column:
+    """For an array of longs: what ``add`` makes of all elements before each, from 0 on.
+
+    Appending in an aggregate copies the array each time. So chunks are run through on their own, and then the
+    chunks' totals: that copies about ``chunk`` / 2 numbers for each element, and few for each chunk.
+    """
+    kind = "struct<at:bigint,out:array<bigint>>"
+    zero = F.expr(f"cast(named_struct('at', 0L, 'out', array()) as {kind})")
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(add(acc["at"], x).cast("long").alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")).cast(kind)
+
+    def whole(all_: Column) -> Column:
+        begins = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(chunk))
+        parts = F.transform(begins, lambda i: F.aggregate(F.slice(all_, i, F.lit(chunk)), zero, step))
+        return bound(parts, lambda ps: F.flatten(F.zip_with(ps, F.aggregate(ps, zero, lambda acc, p: step(acc, p["at"]))["out"], lambda p, off: F.transform(p["out"], lambda x: add(x, off).cast("long")))))
+
+    return bound(xs, whole)
+
+
+def pieces(text: Column, spans: Column, chunk: int = 128) -> Column:
+    """The parts of ``text`` at ``spans``, an ascending array of (start, length) in code points.
+
+    A substring is counted off from the start of its text, so each ``chunk`` of spans first gets its own stretch of it.
+    """
+
+    def stretch(t: Column, part: Column) -> Column:
+        low, last = part[0]["start"], F.element_at(part, -1)
+        own = F.substring(t, (low + 1).cast("int"), (last["start"] + last["length"] - low).cast("int"))
+        cut = bound(own, lambda o: F.transform(part, lambda s: F.substring(o, (s["start"] - low + 1).cast("int"), s["length"].cast("int"))))
+        return F.when(F.size(part) > 0, cut).otherwise(F.array().cast("array<string>"))
+
+    def whole(x: Column) -> Column:
+        begins = F.sequence(F.lit(1), F.greatest(F.size(x["spans"]), F.lit(1)), F.lit(chunk))
+        return F.flatten(F.transform(begins, lambda i: bound(F.slice(x["spans"], i, F.lit(chunk)), lambda part: stretch(x["text"], part))))
+
+    return bound(F.struct(text.alias("text"), spans.alias("spans")), whole)
