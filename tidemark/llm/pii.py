@@ -4,14 +4,14 @@ Generators with high recall propose spans, which may overlap: emails, dotted qua
 phone-like runs, bare digit runs and long opaque strings. Those of the first four that pass their
 validator are the base and always stay. Boosted trees over format and context features score all
 candidates; a bare digit run or opaque string is added if its score reaches its generator's
-threshold, calibrated on the counts of all candidates for ``precision``; fold 0 has no part in the trees.
+threshold; so is a failing candidate of a base generator, as a ``number``.
 
-There are no labelled spans, so learning is weakly supervised: a validator's outcome (parts, digit
-count, Luhn sum) labels numeric candidates and is no feature of theirs, but for bare digit runs, which
-have little else; a naming word before an opaque
-string labels it and is no feature of its own. Candidates are counted by cells of their discrete
-features in Spark; the cells, whose number the grid bounds, are all that the driver sees. Trees become
-column expressions.
+There are no labelled spans, so learning is weakly supervised: a naming word before a candidate ("card", "phone",
+"token") labels it, and is no feature. Features are its format: the generator, length, whether it is assigned, what
+characters it has, and the validator's outcome (parts, digit count, Luhn sum). Candidates are counted by cells of
+their discrete features in Spark; the cells, whose number the grid bounds, are all that the driver sees. Trees are
+fitted on the cells of four folds and become column expressions; the thresholds are the least scores that reach
+``precision`` on the cells of fold 0. A generator that never reaches it adds nothing.
 
 At scale: one pass over the texts, no shuffle but of cell counts. A digit of any script but ASCII is
 none. Positions are code points, ends are exclusive.
@@ -27,7 +27,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import fold_of, only
+from tidemark.llm.common import bound, fold_of, only, pieces, running
 from tidemark.sources.shared import written
 
 KINDS = ("email", "ip", "card", "phone", "number", "secret")
@@ -47,7 +47,7 @@ PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 CONTEXT = 32
 SECRET_WORDS = r"(?i)(?:token|key|secret|passw|pwd|auth|bearer|credential)[A-Za-z_]{0,8}\W{0,6}$"
 PERSON_WORDS = r"(?i)(?:card|visa|account|iban|acct|tel|phone|mobile|fax|mail|ssn)\w{0,8}\W{0,6}$"
-FEATURES = ("kind", "size", "context", "assigned", "mixed", "hex", "summed")
+FEATURES = ("kind", "size", "assigned", "mixed", "hex", "passes")
 
 _SPAN = "struct<start:bigint,end:bigint,value:string,before:string>"
 
@@ -56,17 +56,16 @@ def located(text: Column, pattern: str, hint: str) -> Column:
     """The leftmost non-overlapping matches, with what stands before each, as an array of structs."""
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
     pairs = F.filter(F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, h: F.struct(p.alias("p"), h.alias("h"))), lambda x: x["h"].isNotNull())
-    kind = f"struct<at:bigint,out:array<{_SPAN}>>"
-    zero = F.expr(f"cast(named_struct('at', 0L, 'out', array()) as {kind})")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["p"])
-        end = start + F.char_length(x["h"])
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.char_length(x["p"])
         before = F.substring(x["p"], F.greatest(F.char_length(x["p"]) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT))
-        span = F.struct(start.alias("start"), end.alias("end"), x["h"].alias("value"), before.alias("before"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out")).cast(kind)
+        return F.struct(start.alias("start"), (start + F.char_length(x["h"])).alias("end"), x["h"].alias("value"), before.alias("before"))
 
-    return F.when(text.rlike(hint), F.aggregate(pairs, zero, step)["out"]).otherwise(none)
+    def placed(ps: Column) -> Column:
+        return F.zip_with(ps, running(F.transform(ps, lambda x: (F.char_length(x["p"]) + F.char_length(x["h"])).cast("long"))), span)
+
+    return F.when(text.rlike(hint), bound(pairs, placed)).otherwise(none)
 
 
 def digits_of(value: Column) -> Column:
@@ -91,27 +90,25 @@ def _judged(spans: Column, k: int) -> Column:
     def one(s: Column) -> Column:
         value, before, digits = s["value"], s["before"], digits_of(s["value"])
         n = F.char_length(digits)
-        named = before.rlike(SECRET_WORDS)
         valid = {
             "email": F.lit(True),
             "ip": value.rlike(f"^{PART}\\.{PART}\\.{PART}\\.{PART}$"),
             "card": n.between(16, 19) & luhn(digits),
             "phone": n.between(8, 15),
             "number": luhn(digits),
-            "secret": named & value.rlike("[0-9]") & value.rlike("[A-Za-z]"),
+            "secret": F.lit(False),
         }[KINDS[k]]
-        context = F.when(before.rlike(PERSON_WORDS), 2).otherwise(F.when(named & F.lit(k != 5), 1).otherwise(0))
         return F.struct(
             s["start"].alias("start"),
             s["end"].alias("end"),
             valid.alias("valid"),
             F.lit(k).alias("kind"),
+            before.rlike(SECRET_WORDS if KINDS[k] == "secret" else PERSON_WORDS).alias("named"),
             F.least(F.char_length(value), F.lit(64)).alias("size"),
-            context.alias("context"),
             before.rlike("[=:]\\s*[\"']?$").cast("int").alias("assigned"),
             (value.rlike("[0-9]") & value.rlike("[A-Za-z]")).cast("int").alias("mixed"),
             value.rlike("^[0-9a-fA-F]+$").cast("int").alias("hex"),
-            (luhn(digits).cast("int") if KINDS[k] == "number" else F.lit(0)).alias("summed"),
+            valid.cast("int").alias("passes"),
         )
 
     out = F.transform(spans, one)
@@ -179,27 +176,38 @@ def value(tree: Tree | float, x: tuple[int, ...]) -> float:
     return tree
 
 
-def expression(tree: Tree | float, span: Column) -> Column:
+def expression(tree: Tree | float) -> str:
+    """SQL for the tree's value at the span ``s``."""
     if not isinstance(tree, tuple):
-        return F.lit(float(tree))
-    return F.when(span[FEATURES[tree[0]]] <= tree[1], expression(tree[2], span)).otherwise(expression(tree[3], span))
+        return f"{float(tree)!r}D"
+    return f"CASE WHEN s.{FEATURES[tree[0]]} <= {tree[1]} THEN {expression(tree[2])} ELSE {expression(tree[3])} END"
 
 
 def learn(found: DataFrame, precision: float = 0.8, rounds: int = 20) -> tuple[float, list[Tree], dict[int, float]]:
-    """Base score, trees, and each adding generator's least score."""
+    """Base score, trees, and the least score of each generator that reaches ``precision`` on fold 0, which the trees haven't seen."""
     spans = found.select((fold_of(F.col("doc_id")) == 0).alias("held"), F.inline("spans"))
-    counted = spans.groupBy("held", *FEATURES).agg(F.sum(F.col("valid").cast("long")).alias("pos"), F.count("*").alias("n")).collect()
+    counted = spans.groupBy("held", *FEATURES).agg(F.sum(F.col("named").cast("long")).alias("pos"), F.count("*").alias("n")).collect()
     cells = sorted((r.held, tuple(r[f] for f in FEATURES), r.pos, r.n - r.pos) for r in counted)
     base, trees = boost([c[1:] for c in cells if not c[0]], rounds)
+    return base, trees, thresholds(base, trees, [c[1:] for c in cells if c[0]], precision)
+
+
+def thresholds(base: float, trees: list[Tree], cells: list[tuple[tuple[int, ...], float, float]], precision: float) -> dict[int, float]:
+    """For each generator the least score from which on the share of positives is ``precision``; cells of equal score go together."""
     least: dict[int, float] = {}
-    for k in range(BASE, len(KINDS)):
-        scored = sorted(((base + sum(value(t, x) for t in trees), pos, neg) for _, x, pos, neg in cells if x[0] == k), reverse=True)
+    for k in range(len(KINDS)):
+        by: dict[float, list[float]] = {}
+        for x, pos, neg in cells:
+            if x[0] == k:
+                at = by.setdefault(round(base + sum(value(t, x) for t in trees), 6), [0, 0])
+                at[0] += pos
+                at[1] += neg
         hit = miss = 0
-        for s, pos, neg in scored:
-            hit, miss = hit + pos, miss + neg
-            if hit >= precision * (hit + miss):
-                least[k] = round(s - 1e-6, 9)
-    return base, trees, least
+        for s in sorted(by, reverse=True):
+            hit, miss = hit + by[s][0], miss + by[s][1]
+            if hit and hit >= precision * (hit + miss):
+                least[k] = round(s - 1e-5, 9)
+    return least
 
 
 def find(docs: DataFrame, precision: float = 0.8) -> DataFrame:
@@ -211,32 +219,34 @@ def find(docs: DataFrame, precision: float = 0.8) -> DataFrame:
 def chosen_spans(base: float, trees: list[Tree], least: dict[int, float]) -> Column:
     """Of the column ``spans`` of candidates, those that are base or reach their generator's threshold."""
 
-    def chosen(s: Column) -> Column:
-        score = F.lit(float(base))
-        for t in trees:
-            score = score + expression(t, s)
-        added = F.lit(False)
-        for k, at in least.items():
-            added = added | ((s["kind"] == k) & (score >= at))
-        return ((s["kind"] < BASE) & s["valid"]) | added
-
-    names = F.array(*map(F.lit, KINDS))
-    return F.transform(F.filter("spans", chosen), lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (s["kind"] < BASE).alias("base")))
+    score = " + ".join([f"{float(base)!r}D", *(f"({expression(t)})" for t in trees)])
+    added = "CASE s.kind " + " ".join(f"WHEN {k} THEN {score} >= {at!r}D" for k, at in least.items()) + " END" if least else "false"
+    of = f"s.kind < {BASE} AND s.valid"
+    names = f"array({', '.join(map(repr, KINDS))})"
+    kind = f"CASE WHEN s.kind < {BASE} AND NOT s.valid THEN {BASE + 1} ELSE s.kind + 1 END"
+    picked = f"transform(filter(spans, s -> ({of}) OR coalesce({added}, false)), s -> struct({kind} AS n, s.start AS start, s.end AS end, ({of}) AS base))"
+    # by kind and start; added spans that two generators propose alike are one
+    once = f"get(transform(array(sort_array({picked})), a -> filter(a, (s, i) -> i = 0 OR s <> a[i - 1])), 0)"
+    return F.expr(f"transform({once}, s -> struct(get({names}, s.n - 1) AS kind, s.start AS start, s.end AS end, s.base AS base))")
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """``text`` with the union of ``spans`` replaced, each stretch by the kind of its first span in brackets."""
-    kind = "struct<at:bigint,out:string>"
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.expr(f"cast(named_struct('at', 0L, 'out', '') as {kind})")
+    order = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def opened(ss: Column) -> Column:
+        """Where a new stretch begins: the kept text before it, as (start, length), and its kind."""
+        reach = running(F.transform(ss, lambda s: s["end"]), F.greatest)
+        return F.filter(
+            F.zip_with(ss, reach, lambda s, r: F.struct(r.alias("start"), (s["start"] - r).alias("length"), s["kind"].alias("kind"))), lambda x: x["length"] >= 0
+        )
 
-    def step(acc: Column, s: Column) -> Column:
-        kept = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out")).cast(kind)
-        over = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")).cast(kind)
-        return F.when(s["start"] < acc["at"], over).otherwise(new)
+    def written_out(x: Column) -> Column:
+        kept = F.zip_with(pieces(text, x["gaps"]), x["gaps"], lambda t, g: F.concat(t, F.lit("["), F.upper(g["kind"]), F.lit("]")))
+        return F.concat(F.array_join(kept, ""), F.substring(text, (x["last"] + 1).cast("int"), F.char_length(text)))
 
-    done = F.aggregate(order, zero, step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))))
+    last = lambda ss: F.array_max(F.transform(ss, lambda s: s["end"]))
+    done = bound(order, lambda ss: bound(F.struct(opened(ss).alias("gaps"), last(ss).alias("last")), written_out))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
