@@ -75,21 +75,31 @@ x AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(x.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN x USING (r)"""
 
+#: Each level's rate follows from its counts and the level above; a page takes the first of host, domain, suffix and all pages that has an outcome.
 _OP6 = r"""
 WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 rules(rh, rp, rule, rv) AS (VALUES ('com', '/', 'com/', 'allow'), ('example.com', '/en/', 'example.com/en/', 'block'), ('www.example.com', '/en/', 'www.example.com/en/', 'allow'), ('net', '/es/', 'net/es/', 'block'), ('net', '/fr/', 'net/fr/', 'block')),
-t AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS two FROM p),
-g AS (SELECT *, two IN ('ac.uk','co.jp','co.nz','co.uk','com.au','com.br','gov.uk','org.uk') AS long FROM t),
-n AS (SELECT page_id, host, path, CASE WHEN long THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE two END AS domain, CASE WHEN long THEN two ELSE string_split(host, '.')[-1] END AS suffix FROM g),
+u AS (SELECT host, rtrim(regexp_replace(string_split(host, '@')[-1], ':[0-9]*$', ''), '.') AS name FROM (SELECT DISTINCT host FROM p)),
+t AS (SELECT *, string_split(name, '.') AS l, regexp_full_match(name, '[0-9]{1,3}(\.[0-9]{1,3}){3}') OR starts_with(name, '[') AS ip FROM u),
+g AS (SELECT *, CASE WHEN len(l) > 1 AND regexp_full_match(l[-1], '[a-z][a-z]') AND l[-2] IN ('ac','co','com','edu','gob','gov','go','mil','ne','net','nom','or','org','sch') THEN 2 ELSE 1 END AS k FROM t),
+n AS (SELECT host, CASE WHEN ip THEN name ELSE array_to_string(l[-(k + 1):], '.') END AS domain, CASE WHEN ip THEN 'ip' ELSE array_to_string(l[-k:], '.') END AS suffix FROM g),
 l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-h AS (SELECT host, any_value(domain) AS domain, any_value(suffix) AS suffix, count(*) AS n, sum(bad)::BIGINT AS b FROM n JOIN l ON page_id = doc_id GROUP BY host),
-d AS (SELECT domain, suffix, sum(n)::BIGINT AS n, sum(b)::BIGINT AS b FROM h GROUP BY ALL),
-s AS (SELECT suffix, (sum(b)::DOUBLE + 20e0 * (SELECT (sum(b)::DOUBLE + 1e0) / (sum(n)::DOUBLE + 2e0) FROM h)) / (sum(n)::DOUBLE + 20e0) AS r FROM d GROUP BY suffix),
-e AS (SELECT domain, (d.b::DOUBLE + 20e0 * s.r) / (d.n::DOUBLE + 20e0) AS r FROM d JOIN s USING (suffix)),
-q AS (SELECT host, (h.b::DOUBLE + 20e0 * e.r) / (h.n::DOUBLE + 20e0) AS r, h.n AS n FROM h JOIN e USING (domain)),
-f AS (SELECT page_id, rule, rv FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1)
-SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.rv, CASE WHEN q.r - 1.645e0 * sqrt(q.r * (1e0 - q.r) / (q.n::DOUBLE + 21e0)) > 0.5e0 THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN f USING (page_id) LEFT JOIN q ON p.host = q.host"""
+h AS (SELECT host, domain, suffix, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS b FROM p JOIN n USING (host) JOIN l ON page_id = doc_id GROUP BY ALL),
+a AS (SELECT sum(n) AS n, (sum(b) + 1) / (sum(n) + 2) AS r, 20e0 AS m FROM h HAVING count(*) > 0),
+s0 AS (SELECT suffix, sum(h.n) AS n, sum(b) AS b, any_value(a.r) AS up FROM h, a GROUP BY suffix),
+s1 AS (SELECT coalesce(least(1000, greatest(1, 1 / greatest((sum(n * (b / n - up) ** 2 / (up * (1 - up))) - count(*)) / nullif(sum(n - 1), 0), 1e-9) - 1)), 20) AS m FROM s0),
+s AS (SELECT suffix, n, m, (b + m * up) / (n + m) AS r FROM s0, s1),
+d0 AS (SELECT domain, sum(h.n) AS n, sum(b) AS b, any_value(s.r) AS up FROM h JOIN s USING (suffix) GROUP BY domain),
+d1 AS (SELECT coalesce(least(1000, greatest(1, 1 / greatest((sum(n * (b / n - up) ** 2 / (up * (1 - up))) - count(*)) / nullif(sum(n - 1), 0), 1e-9) - 1)), 20) AS m FROM d0),
+d AS (SELECT domain, n, m, (b + m * up) / (n + m) AS r FROM d0, d1),
+h0 AS (SELECT host, h.n, h.b, d.r AS up FROM h JOIN d USING (domain)),
+h1 AS (SELECT coalesce(least(1000, greatest(1, 1 / greatest((sum(n * (b / n - up) ** 2 / (up * (1 - up))) - count(*)) / nullif(sum(n - 1), 0), 1e-9) - 1)), 20) AS m FROM h0),
+q AS (SELECT host, n, m, (b + m * up) / (n + m) AS r FROM h0, h1),
+x AS (SELECT n.host, CASE WHEN q.r IS NOT NULL THEN [q.n, q.m, q.r] WHEN d.r IS NOT NULL THEN [d.n, d.m, d.r] WHEN s.r IS NOT NULL THEN [s.n, s.m, s.r] ELSE (SELECT [n, m, r] FROM a) END AS v
+FROM n LEFT JOIN q USING (host) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix)),
+f AS (SELECT page_id, rule, rv FROM (SELECT DISTINCT * FROM p) JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) = 1)
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.rv, CASE WHEN v[3] - 1.645e0 * sqrt(v[3] * (1 - v[3]) / (v[1] + v[2] + 1)) > 0.5e0 THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN f USING (page_id) JOIN x ON p.host = x.host"""
 
 _ESC = "replace(replace(replace(replace(replace({0}, '␛', '␛␛'), '<s>', '<␛s>'), '[INST]', '[␛INST]'), '[/INST]', '[␛/INST]'), '</s>', '<␛/s>')"
 _OP9 = f"""
