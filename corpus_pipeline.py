@@ -38,8 +38,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """For each document its source's target and the words that the mix takes from it."""
-    return mixture.mix(docs)
+    """The documents, as redacted, each with its source's target and the words that the mix takes from it."""
+    return mixture.mixed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
