@@ -3,13 +3,14 @@
 A pattern is a window of ``window`` consecutive words of a benchmark item, with a space on each side;
 an item of fewer words is one pattern. Documents are brought to the same form, words parted by single
 spaces. The search looks at the last block of a stretch as long as the shortest pattern: the shift
-table says how far it can move on if no pattern has that block, buckets by the block's hash give the
-patterns that end their stretch there, a prefix test thins them, and a direct comparison confirms.
-Many places in a slice of texts move in step, so numpy does each step for all.
+table says how far it can move on if no pattern has that block, buckets by the block's hash hold the
+heads (beginnings of that length) that end there, in which a place looks up its own head's hash, and the
+patterns with that head are compared directly, by their lengths. So patterns with a common beginning
+cost as one. Many places in a slice of texts move in step, so numpy does each step for all.
 
 Benchmark texts come to the driver in blocks of ``block_bytes`` at most; each block's tables are sent
-to the executors and searched against all documents in turn, so memory is bounded for any benchmark.
-Documents are never shuffled. Short and long patterns have tables of their own, so a short item
+to the executors and searched against all documents, which are written before the next block's turn, so
+only one block's tables are held at a time. Documents are never shuffled. Short and long patterns have tables of their own, so a short item
 doesn't shorten the shifts of the others.
 
 Cases: null or wordless text has no words and no hits; an item without words has no pattern; an item
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.llm.common import kept_rows, only, slices, text_bytes
+from tidemark.sources.shared import written
 
 #: Words are digits, letters and all bytes of other characters; A-Z are lower-cased, the rest of ASCII parts words.
 _FORM = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -43,19 +45,28 @@ class WuManber:
         self.patterns = patterns
         self.m = m = min(map(len, patterns))
         self.block = b = min(8, max(1, m // 2))
-        n = len(patterns)
+        # patterns with one head are one entry of the tables; by their lengths it leads to the patterns themselves
+        number: dict[bytes, int] = {}
+        self.tails: list[dict[int, dict[bytes, int]]] = []
+        for i, p in enumerate(patterns):
+            k = number.setdefault(p[:m], len(number))
+            if k == len(self.tails):
+                self.tails.append({})
+            self.tails[k].setdefault(len(p), {})[p] = i
+        n = len(number)
         self.bits = int(min(22, max(12, np.ceil(np.log2(8 * n * (m - b + 1) + 1)))))
-        head = np.frombuffer(b"".join(p[:m] for p in patterns), np.uint8).reshape(n, m)
+        head = np.frombuffer(b"".join(number), np.uint8).reshape(n, m)
         self.shift = np.full(1 << self.bits, m - b + 1, np.uint16)
         for j in range(b, m + 1):
             h = self.hash(head[:, j - b : j].T)
             np.minimum.at(self.shift, h, np.uint16(m - j))
         h = self.hash(head[:, m - b :].T)
-        self.order = np.argsort(h, kind="stable")
+        # of heads with one last block, those with one hash of the whole head stand together
+        self.whole = self.mix(head.T)
+        self.order = np.lexsort((self.whole, h))
+        self.whole = self.whole[self.order]
         counts = np.bincount(h, minlength=1 << self.bits)
         self.first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        k = min(8, m)
-        self.prefix = self.pack(head[:, :k].T)
 
     def hash(self, columns) -> np.ndarray:
         h = np.zeros(len(columns[0]), np.uint64)
@@ -65,10 +76,11 @@ class WuManber:
         return (h >> np.uint64(64 - 29 - self.bits)).astype(np.int64) & ((1 << self.bits) - 1)
 
     @staticmethod
-    def pack(columns) -> np.ndarray:
+    def mix(columns) -> np.ndarray:
         out = np.zeros(len(columns[0]), np.uint64)
         for c in columns:
-            out = (out << np.uint64(8)) | c.astype(np.uint64)
+            out = (out ^ c) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
         return out
 
     def find(self, data: bytes) -> list[tuple[int, int]]:
@@ -93,11 +105,24 @@ class WuManber:
         if not ends:
             return []
         end, h = np.concatenate(ends), np.concatenate(hashes)
-        n = self.first[h + 1] - self.first[h]
-        start = np.repeat(end - m, n)
-        which = self.order[np.repeat(self.first[h] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        same = self.pack([buf[start + j] for j in range(min(8, m))]) == self.prefix[which]
-        return [(s, p) for s, p in zip(start[same].tolist(), which[same].tolist()) if data.startswith(self.patterns[p], s)]
+        start = end - m
+        whole = self.mix([buf[start + j] for j in range(m)])
+        # in the bucket, sorted by hash of the head, each place looks up its own hash
+        low, high = self.first[h], self.first[h + 1]
+        stop = high
+        while (go := low < high).any():
+            mid = (low + high) // 2
+            less = go & (self.whole[np.minimum(mid, len(self.whole) - 1)] < whole)
+            low, high = np.where(less, mid + 1, low), np.where(go & ~less, mid, high)
+        out = []
+        at = np.flatnonzero((low < stop) & (self.whole[np.minimum(low, len(self.whole) - 1)] == whole))
+        for s, i, last, w in zip(start[at].tolist(), low[at].tolist(), stop[at].tolist(), whole[at].tolist()):
+            while i < last and int(self.whole[i]) == w:
+                for length, known in self.tails[self.order[i]].items():
+                    if (found := known.get(data[s : s + length])) is not None:
+                        out.append((s, found))
+                i += 1
+        return out
 
 
 class Benchmark:
@@ -129,6 +154,15 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str |
         yield block
 
 
+def _ended(parts: Iterator[list]) -> Iterator[tuple[list, bool]]:
+    """Each part, or an empty one if there is none, and whether it is the last."""
+    part = next(parts, [])
+    while (after := next(parts, None)) is not None:
+        yield part, False
+        part = after
+    yield part, True
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -164,13 +198,13 @@ _FOUND = "n_words long, spans array<struct<start:bigint,end:bigint>>, items arra
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): n_words, n_hit, spans of hit words (half open), items (ids as text, sorted)."""
-    context = docs.sparkSession.sparkContext
-    out, sent = only(docs, doc_id="long", text="string"), []
-    for block in blocks(benchmark, block_bytes):
-        sent.append(context.broadcast(Benchmark(block, window)))
-    for i, bench in enumerate(sent or [context.broadcast(Benchmark([], window))]):
-        last = i + 1 >= len(sent)
+    out = only(docs, doc_id="long", text="string")
+    for i, (block, last) in enumerate(_ended(blocks(benchmark, block_bytes))):
+        bench = docs.sparkSession.sparkContext.broadcast(Benchmark(block, window))
         out = out.mapInArrow(_step(bench, i > 0, last), "doc_id long, " + ("" if last else "text string, ") + _FOUND)
+        if not last:
+            out = written(out, "searched")
+            bench.unpersist()
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items")
 
@@ -205,9 +239,9 @@ def digests(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, without a hit."""
-    context, out = docs.sparkSession.sparkContext, docs
-    for block in blocks(benchmark, block_bytes):
-        sent = context.broadcast(Benchmark(block, window))
+    out = docs
+    for block, last in _ended(blocks(benchmark, block_bytes)):
+        sent = docs.sparkSession.sparkContext.broadcast(Benchmark(block, window))
 
         def free(sent=sent):
             def judge(texts: list[bytes]) -> list[bool]:
@@ -217,4 +251,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes:
             return judge
 
         out = kept_rows(out, "text", free)
+        if not last:
+            out = written(out, "searched")
+            sent.unpersist()
     return out
