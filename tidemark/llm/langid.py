@@ -100,17 +100,18 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float, lanes: int =
     begins[offset[some], lane[some]] = True
     ends[(offset + counts - 1)[some], lane[some]] = True
     padded = np.vstack([scores, np.zeros((1, k), np.float32)])
-    back, best = np.empty((steps, lanes, k), np.int8), np.empty((steps, lanes), np.int8)
-    v, own, rows = np.zeros((lanes, k), np.float32), np.arange(k, dtype=np.int8)[None, :], np.arange(lanes)
-    top = np.zeros(lanes, np.int8)
+    kind = np.int8 if k <= 127 else np.int32
+    back, best = np.empty((steps, lanes, k), kind), np.empty((steps, lanes), kind)
+    v, own, rows = np.zeros((lanes, k), np.float32), np.arange(k, dtype=kind)[None, :], np.arange(lanes)
+    top = np.zeros(lanes, kind)
     for i in range(steps):
         v[begins[i]] = 0
         move = (v[rows, top] - penalty)[:, None]
         back[i] = np.where(v >= move, own, top[:, None])
         v = np.maximum(v, move) + padded[at[i]]
-        top = v.argmax(1).astype(np.int8)
+        top = v.argmax(1).astype(kind)
         best[i] = top
-    label, state = np.empty((steps, lanes), np.int8), np.zeros(lanes, np.int64)
+    label, state = np.empty((steps, lanes), kind), np.zeros(lanes, np.int64)
     for i in range(steps - 1, -1, -1):
         state = np.where(ends[i], best[i], state)
         label[i] = state
@@ -170,10 +171,12 @@ class Labeller:
         return lang, score, spans
 
 
-def learn(docs: DataFrame, docs_per_lang: int = 1000, penalty: float = 8.0) -> Model:
-    """A model from ``docs`` (doc_id, text, lang) with a language and a text."""
+def learn(docs: DataFrame, docs_per_lang: int = 1000, penalty: float = 8.0, most: int = 400) -> Model:
+    """A model from ``docs`` (doc_id, text, lang) with a language and a text. The driver holds tables for each language, so over ``most`` languages are an error."""
     rows = only(docs, doc_id="long", text="string", lang="string").where("lang is not null and text is not null")
-    n = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    n = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(most + 1).collect()}
+    if len(n) > most:
+        raise ValueError(f"over {most} languages; raise most if the driver can hold their tables")
     langs = sorted(n)
     if not langs:
         return Model([], *(np.zeros((1, 0)) for _ in range(3)), penalty)
