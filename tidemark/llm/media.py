@@ -13,8 +13,9 @@ hot groups need nothing; long texts are handled in bounded slices; an empty tabl
 
 from __future__ import annotations
 
+import bisect
 import functools
-import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -105,9 +106,45 @@ def _riff(form: bytes, needs: tuple[bytes, ...]) -> Callable[[memoryview, int],
     return check
 
 
+class _Seen:
+    """What validators found out about one buffer, so that its next hits needn't look again."""
+
+    view: memoryview | None = None
+    places: dict = {}
+    chains: dict = {}
+
+    @classmethod
+    def of(cls, b: memoryview) -> type[_Seen]:
+        if cls.view is not b:
+            cls.view, cls.places, cls.chains = b, {}, {}
+        return cls
+
+
+def _after(b: memoryview, pattern: re.Pattern, at: int) -> tuple[int, int, bytes] | None:
+    """Start, end and first group of the first match of ``pattern`` that begins at ``at`` or behind; all are looked for once."""
+    seen = _Seen.of(b).places
+    if pattern not in seen:
+        seen[pattern] = [(m.start(), m.end(), m[1]) for m in pattern.finditer(b)]
+    found = seen[pattern]
+    k = bisect.bisect_left(found, (at,))
+    return found[k] if k < len(found) else None
+
+
+#: The end of a PDF's part: where its cross-reference table is, counted from the start of the PDF.
+_PDF_END = re.compile(rb"startxref\s+([0-9]{1,10})\s+%%EOF")
+_PDF_OBJECT = re.compile(rb"[0-9]{1,10}\s+[0-9]{1,5}\s+obj")
+
+
 def _pdf(b: memoryview, i: int) -> int:
-    end = bytes(b[i:]).rfind(b"%%EOF")
-    return end + 5 if end > 0 and b"startxref" in bytes(b[i : i + end]) else 0
+    """Up to the last of the ends whose tables lie in the PDF, which follow each other as it was changed."""
+    out, at = 0, i + 5
+    while m := _after(b, _PDF_END, at):
+        start, end, x = m[0], m[1], i + int(m[2])
+        # a table is named so or is an object
+        if not i < x < start or not (bytes(b[x : x + 4]) == b"xref" or _PDF_OBJECT.match(b, x)):
+            break
+        out, at = end - i, end
+    return out
 
 
 def _gzip(b: memoryview, i: int) -> int:
@@ -124,13 +161,30 @@ def _gzip(b: memoryview, i: int) -> int:
     return at - len(z.unused_data) - i
 
 
+_ZIP_NEXT = re.compile(rb"(PK(?:\x03\x04|\x01\x02))")
+
+
 def _zip(b: memoryview, i: int) -> int:
-    raw, at = bytes(b[i:]), -1
-    while (at := raw.find(b"PK\5\6", at + 1)) >= 0 and at + 22 <= len(raw):
-        size, start, note = struct.unpack_from("<IIH", raw, at + 12)
-        if start + size == at and at + 22 + note <= len(raw):
-            return at + 22 + note
-    return 0
+    """Local entries one after another, then the directory and its end, which tell their own lengths."""
+    chains, path, at = _Seen.of(b).chains, [], i
+    while at not in chains and at + 30 <= len(b) and bytes(b[at : at + 4]) == b"PK\3\4":
+        path.append(at)
+        flags, size = struct.unpack_from("<H", b, at + 6)[0], struct.unpack_from("<I", b, at + 18)[0]
+        name, more = struct.unpack_from("<HH", b, at + 26)
+        if flags & 8 and not size:  # the length follows the data, so the next signature is looked for
+            m = _after(b, _ZIP_NEXT, at + 30 + name + more)
+            at = m[0] if m else len(b)
+        else:
+            at += 30 + name + more + size
+    begin = chains.get(at, at)
+    chains |= dict.fromkeys(path, begin)
+    at = begin
+    while at + 46 <= len(b) and bytes(b[at : at + 4]) == b"PK\1\2":
+        at += 46 + sum(struct.unpack_from("<HHH", b, at + 28))
+    if at + 22 > len(b) or bytes(b[at : at + 4]) != b"PK\5\6":
+        return 0
+    size, start, note = struct.unpack_from("<IIH", b, at + 12)
+    return at + 22 + note - i if start == begin - i and size == at - begin and at + 22 + note <= len(b) else 0
 
 
 def _ogg(b: memoryview, i: int) -> int:
