@@ -168,6 +168,16 @@ def test_wu_manber_finds_all():
         assert sorted(decontam.WuManber(pats).find(data)) == want
 
 
+def test_patterns_with_a_common_head_cost_as_one():
+    import time
+
+    head = b" question number one of the very long list is "
+    pats = [head + b"%d " % i for i in range(20_000)]
+    data = (head + b"none ") * 20_000 + pats[7]
+    t = time.time()
+    assert decontam.WuManber(pats).find(data) == [(len(data) - len(pats[7]), 7)] and time.time() - t < 20
+
+
 def test_media_round_trip(spark, docs):
     d = spark.createDataFrame([(i, t) for i, t, _ in docs] + [(-1, None)], "doc_id long, text string")
     for r in media.digests(media.sniff(media.store_texts(d))).collect():
@@ -567,3 +577,36 @@ def test_pii_spans_against_plain(spark, docs):
         failing = [s for s in got if s[0] == "number" and s not in want]  # failing candidates of base generators
         assert sorted(set(got) - set(failing)) == sorted(set(want)) and got == sorted(got, key=lambda s: (order[s[0]], s[1])), text[:80]
         assert not failing or set(least) & {1, 2, 3}
+
+
+def test_viterbi_of_many_labels():
+    s = np.zeros((40, 300), np.float32)
+    s[:20, 129], s[20:, 299] = 9, 9
+    assert langid.viterbi(s, np.array([40]), 1.0).tolist() == [129] * 20 + [299] * 20
+
+
+def test_two_pdfs_are_two():
+    def pdf(n):
+        body = b"%PDF-1.4\n" + b"1 0 obj\n<<>>\nendobj\n" * n
+        return body + b"xref\n0 1\ntrailer\n<<>>\nstartxref\n%d\n%%%%EOF" % len(body)
+
+    one, two = pdf(1), pdf(3)
+    grown = one + b"\n2 0 obj\nendobj\nxref\n0 1\nstartxref\n%d\n%%%%EOF" % (len(one) + 16)
+    data = b"text " + one + b" and text " + two + b" startxref 5 %%EOF " + grown
+    assert [data[a : a + n] for a, n, _ in media.find_media(data)] == [one, two, grown]
+    assert media.find_media(b"%PDF-1.4 nothing %%EOF") == []
+
+
+def test_zips_are_carved_and_hits_cost_no_copies():
+    import io
+    import time
+    import zipfile
+
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a.txt", "hello " * 99)
+        z.writestr("b.txt", b"")
+    one = made.getvalue()
+    assert [(a, n, k) for a, n, k in media.find_media(b"--" + one + b"PK\3\4" + one)] == [(2, len(one), "application/zip"), (6 + len(one), len(one), "application/zip")]
+    t = time.time()
+    assert media.find_media(b"%PDF- PK\3\4 x" * 60_000) == [] and time.time() - t < 20
