@@ -111,3 +111,22 @@ def test_cross_section_and_revisions(small):
     assert {(r.asset_id, r.value) for r in asof.cross_section(small, 20200331, 20).collect()} == {(0, 120.0), (1, 220.0)}
     r = asof.revisions(small, 15).where("asset_id = 0 and date = 20200131").collect()[0]
     assert (r.first_value, r.last_value, r.versions) == (1.0, 2.0, 2)
+
+
+def test_store_files_are_sorted_and_most_are_skipped(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from tidemark.sources import store
+
+    facts = spark.range(20_000).selectExpr("pmod(id * 7919, 100) AS asset_id", "20240101 + pmod(id * 31, 28) AS date", "id AS timestamp", "cast(id AS float) AS value")
+    store.write_store(facts, path := str(tmp_path / "s"), files=8, rows_per_file=500)
+    files = sorted(tmp_path.glob("s/*.parquet"))
+    holds = 0
+    for f in files:
+        rows = [tuple(r.values()) for r in pq.read_table(f).to_pylist()]
+        assert rows == sorted(rows)
+        stats = pq.ParquetFile(f).metadata.row_group(0).column(0).statistics
+        holds += stats.min <= 3 <= stats.max
+    assert len(files) >= 40 and holds <= 3
+    plan = store.open_store(spark, path).where("asset_id = 3 and date >= 20240105")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(asset_id,3)" in plan and "GreaterThanOrEqual(date,20240105)" in plan

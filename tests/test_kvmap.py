@@ -69,3 +69,12 @@ def test_log_against_a_dict(spark):
             now.pop(k, None)
     state, old = kvmap.apply_log(table(spark, base), spark.createDataFrame(log, "seq long, op string, k long, v long"))
     assert held(state) == now and {r.seq: r.old for r in old.collect()} == want
+
+
+def test_a_long_log_of_one_key(spark):
+    import time
+
+    log = spark.range(100_000).selectExpr("id AS seq", "element_at(array('insert', 'update', 'delete', 'lookup'), cast(id % 4 + 1 AS int)) AS op", "5L AS k", "id AS v")
+    t = time.time()
+    state, found = kvmap.apply_log(spark.createDataFrame([(5, 77), (6, 1)], "k long, v long"), log)
+    assert found.where("old is null").count() == 49_999 and {tuple(x) for x in state.collect()} == {(6, 1)} and time.time() - t < 60

@@ -34,22 +34,23 @@ def as_of_range(
     return out.limit(limit) if limit is not None else out
 
 
-def as_of_batch(facts: DataFrame, queries: DataFrame, ordered: bool = True, check_ids: bool = False) -> DataFrame:
-    """All of ``queries`` (id, asset_id, start_date, end_date, timestamp; ids unique) against ``facts``.
+def as_of_batch(facts: DataFrame, queries: DataFrame, ordered: bool = True) -> DataFrame:
+    """All of ``queries`` (id, asset_id, start_date, end_date, timestamp) against ``facts``. Repeated ids are an error.
 
     The join is on the asset with the bounds as residual; whether to broadcast is left to the
     optimizer, which knows the sizes. The queries' overall bounds go to the scan as scalar
     subqueries, since the join alone pushes none of them.
     """
     q = require_columns(queries, QUERY)
-    if check_ids and (twice := q.groupBy("id").count().where("count > 1").limit(3).collect()):
+    if (twice := q.groupBy("id").count().where("count > 1").limit(3).collect()):
         raise ValueError(f"query ids must be unique: {twice}")
 
     def bound(f, c: str) -> Column:
         return q.agg(f(c)).scalar()
 
     f = require_columns(facts, FACT).where(
-        (F.col("date") >= bound(F.min, "start_date")) & (F.col("date") <= bound(F.max, "end_date")) & (F.col("timestamp") <= bound(F.max, "timestamp"))
+        F.col("asset_id").between(bound(F.min, "asset_id"), bound(F.max, "asset_id"))
+        & (F.col("date") >= bound(F.min, "start_date")) & (F.col("date") <= bound(F.max, "end_date")) & (F.col("timestamp") <= bound(F.max, "timestamp"))
     )
     q = q.withColumnRenamed("timestamp", "_known").withColumnRenamed("asset_id", "_asset")
     seen = f.join(q, (F.col("asset_id") == F.col("_asset")) & F.col("date").between(F.col("start_date"), F.col("end_date")) & (F.col("timestamp") <= F.col("_known")))

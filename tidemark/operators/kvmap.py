@@ -5,7 +5,7 @@ Batches carry ``seq``, the order in which their rows apply.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.schema import KV, U32_MAX, require_columns
 
@@ -67,34 +67,29 @@ def delete(base: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return base.join(keys.select("k").distinct(), "k", "left_anti"), ops.select("seq", "k", F.when(F.col("_n") == 1, F.col("v")).alias("old"))
 
 
-def _folded(ops: Column, start: Column) -> Column:
-    """Fold one key's operations; state: the value, and (seq, old) of each operation so far."""
-    kind = "struct<v:bigint,out:array<struct<seq:bigint,old:bigint>>>"
-    zero = F.struct(start.cast("long").alias("v"), F.array().cast("array<struct<seq:bigint,old:bigint>>").alias("out")).cast(kind)
-
-    def step(acc: Column, op: Column) -> Column:
-        now = acc["v"]
-        after = (
-            F.when(op["op"] == "insert", F.coalesce(now, op["v"]))
-            .when(op["op"] == "update", F.when(now.isNotNull(), op["v"]))
-            .when(op["op"] == "delete", F.lit(None).cast("long"))
-            .otherwise(now)
-        )
-        return F.struct(after.alias("v"), F.concat(acc["out"], F.array(F.struct(op["seq"].alias("seq"), now.alias("old")))).alias("out")).cast(kind)
-
-    return F.aggregate(ops, zero, step)
-
-
 def apply_log(base: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Replay a mixed log (seq, op, k, v) of insert, update, delete and lookup.
 
-    Keys are independent, so each key folds its own operations in order of ``seq``. Returns the
-    new map, and (seq, old): the value that the operation found, NULL if none.
+    Returns the new map, and (seq, old): the value that the operation found, NULL if none. Windows over one
+    shuffle by key: the map's rows are inserts before all others; deletes part a key's operations into
+    stretches; in a stretch the first insert puts a value, and from then on the last update holds.
     """
-    base = require_columns(base, KV)
-    by = log.groupBy("k").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("long").alias("seq"), "op", F.col("v").cast("long").alias("v")))).alias("ops"))
-    both = base.withColumnRenamed("v", "_old").join(by, "k", "full_outer")
-    none = F.array().cast("array<struct<seq:bigint,op:string,v:bigint>>")
-    done = both.select("k", _folded(F.coalesce("ops", none), F.col("_old")).alias("s"))
-    state = done.where("s.v is not null").select("k", F.col("s.v").alias("v"))
-    return state, done.select(F.inline("s.out"))
+    seq = F.col("seq").cast("long").alias("seq")
+    first = F.lit(-(1 << 63)).alias("seq")
+    held = require_columns(base, KV).select(first, F.lit("insert").alias("op"), "k", F.col("v").cast("long").alias("v"), F.lit(True).alias("_base"))
+    rows = held.unionByName(log.select(seq, "op", F.col("k").cast("long").alias("k"), F.col("v").cast("long").alias("v"), F.lit(False).alias("_base")))
+    by_key = Window.partitionBy("k").orderBy("seq")
+    before = by_key.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_part", F.coalesce(F.sum(F.when(F.col("op") == "delete", 1)).over(before), F.lit(0)))
+    in_part = Window.partitionBy("k", "_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_put", F.first(F.when(F.col("op") == "insert", F.col("v")), ignorenulls=True).over(in_part))
+    changed = F.when((F.col("op") == "update") & F.col("_put").isNotNull(), F.col("v"))
+    rows = rows.withColumn("_changed", F.last(changed, ignorenulls=True).over(in_part)).withColumn("old", F.coalesce("_changed", "_put"))
+    after = (
+        F.when(F.col("op") == "insert", F.coalesce("old", "v"))
+        .when(F.col("op") == "update", F.when(F.col("old").isNotNull(), F.col("v")))
+        .when(F.col("op") == "delete", F.lit(None).cast("long"))
+        .otherwise(F.col("old"))
+    )
+    ends = rows.withColumn("_next", F.lead("seq").over(by_key)).where("_next is null").select("k", after.alias("v"))
+    return ends.where("v is not null"), rows.where("not _base").select("seq", "old")

@@ -32,7 +32,12 @@ def _batch_sql(rows: str, queries: str) -> str:
 
 
 def asof_range_single(spark: SparkSession, d: str) -> DataFrame:
-    return asof.as_of_range(adapters.events_as_facts(spark, d), 3, 20240101, 20241231, 4_000_000_000)
+    return asof.as_of_range(adapters.events_as_facts(spark, d, 20240101, 20241231), 3, 20240101, 20241231, 4_000_000_000)
+
+
+def asof_on_store(spark: SparkSession, d: str) -> DataFrame:
+    store.write_store(adapters.events_as_facts(spark, d), path := shared.new_path(spark, "store"), on_duplicate="keep")
+    return asof.as_of_range(store.open_store(spark, path), 3, 20240101, 20241231, 4_000_000_000)
 
 
 def asof_range_batch(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +53,7 @@ def asof_batch_from_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def asof_ties(spark: SparkSession, d: str) -> DataFrame:
-    return asof.latest(adapters.lineitem_as_facts(spark, d), 8000)
+    return asof.latest(adapters.lineitem_as_facts(spark, d), 4_000_000_000)
 
 
 def asof_empty_range(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +96,19 @@ def normalize_raw(spark: SparkSession, d: str) -> DataFrame:
     return raw.normalize_raw(_raw_events(spark, d), [0], [3], {"asset_text": "asset", "date": "day", "known_at": "known"})
 
 
+def raw_sorted(spark: SparkSession, d: str) -> DataFrame:
+    raw.write_raw_csv(_raw_events(spark, d).select("day", "asset", "known"), path := shared.new_path(spark, "raw"))
+    return raw.normalize_and_sort(raw.read_raw_csv(spark, path, 3), [0], [2], 3)
+
+
+def raw_rejected(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    day = F.when(n % 7 == 0, "2024-02-30").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    known = F.when(n % 5 == 0, "noon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    rows = adapters.table(spark, d, "events").select(day.alias("day"), n.cast("string").alias("n"), known.alias("known"))
+    return raw.rejected(rows, [0], [2]).withColumn("bad_columns", F.array_join(F.col("bad_columns").cast("array<string>"), ","))
+
+
 def _map(spark: SparkSession, d: str) -> DataFrame:
     return adapters.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"), F.col("o_custkey").cast("long").alias("v"))
 
@@ -142,6 +160,10 @@ def kv_apply_log(spark: SparkSession, d: str) -> DataFrame:
     return kvmap.apply_log(_map(spark, d), _log(spark, d))[0]
 
 
+def kv_apply_log_results(spark: SparkSession, d: str) -> DataFrame:
+    return kvmap.apply_log(_map(spark, d), _log(spark, d))[1]
+
+
 def cross_section(spark: SparkSession, d: str) -> DataFrame:
     return asof.cross_section(adapters.events_as_facts(spark, d), 20240110, 4_000_000_000)
 
@@ -167,11 +189,20 @@ held AS (SELECT coalesce(b.k, p.k) AS k, coalesce(b.v, p.v) AS v, CASE WHEN b.k
 up AS (SELECT h.k, arg_max(l.v, l.seq) AS v FROM held h JOIN live l ON l.k = h.k AND l.op = 'update' AND l.seq > h.since GROUP BY h.k)
 SELECT h.k, coalesce(up.v, h.v) AS v FROM held h LEFT JOIN up USING (k)"""
 
+#: What an operation finds follows from those of its key before it: since the last delete, the first put (by the base, if nothing was deleted, or by an insert) and the last update after it.
+_FOUND = f"""
+WITH l AS (SELECT seq, op, k, v FROM {_LOG} UNION ALL SELECT -1, 'insert', k, v FROM {_KV}),
+c AS (SELECT *, coalesce((sum(CASE WHEN op = 'delete' THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 0) AS part FROM l),
+put AS (SELECT k, part, min(seq) AS since, arg_min(v, seq) AS v FROM c WHERE op = 'insert' GROUP BY k, part),
+up AS (SELECT c.k, c.part, c.seq, c.v FROM c JOIN put p ON c.k = p.k AND c.part = p.part AND c.op = 'update' AND c.seq > p.since),
+last AS (SELECT c.k, c.seq, u.v FROM c ASOF LEFT JOIN (SELECT k * 1000000 + part AS at, seq, v FROM up) u ON c.k * 1000000 + c.part = u.at AND c.seq > u.seq)
+SELECT c.seq, CASE WHEN p.since < c.seq THEN coalesce(last.v, p.v) END AS old FROM c LEFT JOIN put p ON c.k = p.k AND c.part = p.part LEFT JOIN last ON last.k = c.k AND last.seq = c.seq WHERE c.seq >= 0"""
+
 QUERIES: dict[str, tuple[Query, str]] = {
     "asof_range_single": (asof_range_single, _range_sql(_EVENTS, 'asset_id = 3 AND date BETWEEN 20240101 AND 20241231 AND "timestamp" <= 4000000000')),
     "asof_range_batch": (asof_range_batch, _batch_sql(_EVENTS, f'(SELECT * FROM (VALUES {_FIRST_QUERIES}) v(id, asset_id, start_date, end_date, "timestamp"))').replace("SELECT id,", "SELECT CAST(id AS BIGINT) AS id,", 1)),
     "asof_batch_from_table": (asof_batch_from_table, _batch_sql(_LINES, '(SELECT s_suppkey AS id, s_suppkey AS asset_id, 19930101 AS start_date, 19960001 + (s_suppkey % 12) * 100 AS end_date, s_suppkey * 137 AS "timestamp" FROM supplier)')),
-    "asof_ties": (asof_ties, f'SELECT * FROM {_LINES} WHERE "timestamp" <= 8000 {_newest("asset_id, date")}'),
+    "asof_ties": (asof_ties, f'SELECT * FROM {_LINES} {_newest("asset_id, date")}'),
     "asof_empty_range": (asof_empty_range, _range_sql(_EVENTS, "asset_id = 3 AND date BETWEEN 20241231 AND 20240101")),
     "asof_before_first": (asof_before_first, _range_sql(_EVENTS, 'asset_id = 3 AND date BETWEEN 20240101 AND 20241231 AND "timestamp" <= 1')),
     "asof_last_n_dates": (asof_last_n_dates, _range_sql(_EVENTS, 'asset_id = 3 AND date BETWEEN 20240101 AND 20241231 AND "timestamp" <= 4000000000', "ORDER BY date DESC LIMIT 5")),
@@ -189,6 +220,10 @@ QUERIES: dict[str, tuple[Query, str]] = {
     "kv_delete": (kv_delete, f"SELECT k, v FROM {_KV} b WHERE k NOT IN (SELECT (p_partkey * 7) % 5000 FROM part)"),
     "kv_delete_results": (kv_delete_results, f"SELECT seq, n.k, CASE WHEN row_number() OVER (PARTITION BY n.k ORDER BY seq) = 1 THEN b.v END AS old FROM {_NEW} n LEFT JOIN {_KV} b USING (k)"),
     "kv_apply_log": (kv_apply_log, _REPLAY),
+    "kv_apply_log_results": (kv_apply_log_results, _FOUND),
+    "asof_on_store": (asof_on_store, _range_sql(_EVENTS, 'asset_id = 3 AND date BETWEEN 20240101 AND 20241231 AND "timestamp" <= 4000000000')),
+    "raw_sorted": (raw_sorted, "SELECT CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS c0, CAST(user_id AS VARCHAR) AS c1, CAST(round_even(CAST(epoch_us(ts) AS DECIMAL(20, 0)) / 1000000, 0) AS BIGINT) AS c2 FROM events"),
+    "raw_rejected": (raw_rejected, "SELECT CASE WHEN event_id % 7 = 0 THEN '2024-02-30' ELSE strftime(ts, '%Y-%m-%d') END AS day, CAST(event_id AS VARCHAR) AS n, CASE WHEN event_id % 5 = 0 THEN 'noon' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS known, CASE WHEN event_id % 35 = 0 THEN '1,3' WHEN event_id % 7 = 0 THEN '1' ELSE '3' END AS bad_columns FROM events WHERE event_id % 7 = 0 OR event_id % 5 = 0"),
     "cross_section": (cross_section, f'SELECT * FROM {_EVENTS} WHERE date = 20240110 {_newest("asset_id")}'),
     "revisions": (revisions, f'SELECT asset_id, date, arg_min(value, {{t: "timestamp", v: value}}) AS first_value, arg_max(value, {{t: "timestamp", v: value}}) AS last_value, count(*) AS versions FROM {_LINES} GROUP BY ALL'),
 }

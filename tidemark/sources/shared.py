@@ -1,7 +1,7 @@
 """Tables written between steps, in the folder that all executors share.
 
-The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset, as in tests, a
-folder of this process is used and removed at exit. Parquet written there cuts lineage, so a lost
+The cluster names the folder in ``spark.checkpoint.dir``. Where that is unset a local master gets a
+folder of this process, removed at exit, and any other an error. Parquet written there cuts lineage, so a lost
 executor costs a reread and not the steps before.
 """
 
@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, without a slash at its end."""
     if named := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tidemark-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
