@@ -12,6 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """Which column of ``df`` has this name exactly, else without regard to case; of several the first."""
+    at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not at:
+        raise ValueError(f"no column {name} in {df.columns}")
+    return at[0]
+
+
 def only(df: DataFrame, **kinds: str) -> DataFrame:
     """``df`` narrowed to these columns, cast. Other columns go, whatever their names, so none can clash.
 
@@ -20,10 +28,7 @@ def only(df: DataFrame, **kinds: str) -> DataFrame:
     plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
     picked: list[Column] = []
     for name, kind in kinds.items():
-        at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
-        if not at:
-            raise ValueError(f"no column {name} in {df.columns}")
-        picked.append(F.col(f"c{at[0]}").cast(kind).alias(name))
+        picked.append(F.col(f"c{place_of(df, name)}").cast(kind).alias(name))
     return plain.select(*picked)
 
 
@@ -96,7 +101,7 @@ def kept_rows(docs: DataFrame, text: str, wanted, size: int = 4 << 20) -> DataFr
 
     ``wanted`` is made on the executor by calling the given function without arguments.
     """
-    at = [i for i, c in enumerate(docs.columns) if c.lower() == text.lower()][0]
+    at = place_of(docs, text)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

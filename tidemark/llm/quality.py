@@ -106,6 +106,26 @@ def score(net: Net, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def gradient(net: Net, texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The mean log loss's gradient in each of the network's parts, over ``texts``."""
+    data, first, n, strides = layout(texts)
+    halves, at = stride_maxima(net, data, first, n, strides, winners=True)
+    pooled, chosen, begin = chunk_maxima(halves, strides)
+    x = text_features(pooled, begin)
+    p = 1 / (1 + np.exp(-np.clip(x @ net.weights + net.base[0], -30, 30)))
+    d = ((p - labels) / len(texts)).astype(np.float32)
+    dx = d[:, None] * net.weights
+    count = np.diff(np.append(begin, len(pooled)))
+    doc = np.repeat(np.arange(len(texts)), count)
+    top, low = x[doc, :FILTERS] == pooled, x[doc, 2 * FILTERS :] == pooled
+    share = lambda hit: hit / np.maximum(np.add.reduceat(hit.astype(np.float32), begin, axis=0), 1)[doc]
+    dp = dx[doc, :FILTERS] * share(top) + dx[doc, FILTERS : 2 * FILTERS] / count[doc][:, None] + dx[doc, 2 * FILTERS :] * share(low)
+    dp = np.where(pooled > 0, dp, 0)
+    where = at[chosen, np.arange(FILTERS)]
+    tables = np.stack([np.bincount((data[where + j].astype(np.int64) * FILTERS + np.arange(FILTERS)).ravel(), dp.ravel(), 256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)])
+    return tables, dp.sum(0), x.T @ d, np.array([d.sum()], np.float32)
+
+
 def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 42) -> Net:
     """A network fitted by Adam on the log loss."""
     net, r = Net(seed), np.random.default_rng(seed)
@@ -119,24 +139,8 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 10, batch: int = 3
         order = r.permutation(len(texts))
         for i in range(0, len(order), batch):
             pick = order[i : i + batch]
-            data, first, n, strides = layout([texts[k] for k in pick])
-            halves, at = stride_maxima(net, data, first, n, strides, winners=True)
-            pooled, chosen, begin = chunk_maxima(halves, strides)
-            x = text_features(pooled, begin)
-            p = 1 / (1 + np.exp(-np.clip(x @ net.weights + net.base[0], -30, 30)))
-            d = ((p - labels[pick]) / len(pick)).astype(np.float32)
-            g_weights, g_base = x.T @ d, np.array([d.sum()], np.float32)
-            dx = d[:, None] * net.weights
-            count = np.diff(np.append(begin, len(pooled)))
-            doc = np.repeat(np.arange(len(pick)), count)
-            top, low = x[doc, :FILTERS] == pooled, x[doc, 2 * FILTERS :] == pooled
-            share = lambda hit: hit / np.maximum(np.add.reduceat(hit.astype(np.float32), begin, axis=0), 1)[doc]
-            dp = dx[doc, :FILTERS] * share(top) + dx[doc, FILTERS : 2 * FILTERS] / count[doc][:, None] + dx[doc, 2 * FILTERS :] * share(low)
-            dp = np.where(pooled > 0, dp, 0)
-            where = at[chosen, np.arange(FILTERS)]
-            g_tables = np.stack([np.bincount((data[where + j].astype(np.int64) * FILTERS + np.arange(FILTERS)).ravel(), dp.ravel(), 256 * FILTERS).reshape(256, FILTERS) for j in range(WIDTH)])
             step += 1
-            for k, (w, g) in enumerate(zip(net.parts(), (g_tables, dp.sum(0), g_weights, g_base))):
+            for k, (w, g) in enumerate(zip(net.parts(), gradient(net, [texts[j] for j in pick], labels[pick]))):
                 m[k] = 0.9 * m[k] + 0.1 * g
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 w -= (rate * (1 - epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
