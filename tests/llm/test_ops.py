@@ -239,6 +239,8 @@ def test_suffix_dedup_against_all_windows(spark, docs):
     got = sorted(tuple(x) for x in suffix.digests(suffix.dedup(spark.createDataFrame(data, "doc_id long, text string"))).collect())
     assert got == sorted(brute.removal_row(*x) for x in brute.removed(data))
     assert sum(x[2] for x in got)
+    few = spark.createDataFrame(data, "doc_id long, text string")
+    assert got == sorted(tuple(x) for x in suffix.digests(suffix.dedup(few, bucket_bytes=1 << 12)).collect())
 
 
 def test_simhash_against_all_pairs(spark, docs):

@@ -15,9 +15,9 @@ share neither half of what a common window needs with another are left out of th
 with one surrounding has nothing to sort.
 
 At scale: texts are shuffled by id three times (digest join, surroundings, removal); anchors are about a
-tenth of the bytes in number and ten bytes each; all groups are spread by hash; a text's own rows are
-unique by id. An anchor's different surroundings are held in one task; equal ones are one however many texts
-have them.
+tenth of the bytes in number and ten bytes each; they are dealt by hash, evenly, to as many buckets as the
+bytes of different texts ask for; a text's own rows are unique by id. An anchor's different surroundings
+are held in one task; equal ones are one however many texts have them.
 
 Cases: null text is empty; a null id is greater than all ids; rows with the same id never remove from
 each other; texts under ``length`` bytes lose nothing; repeated rows are judged alike; an empty table
@@ -44,7 +44,10 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 def suffix_array(s: bytes) -> list[int]:
     """The suffix array of ``s``, whose last byte is its only least one."""
     n = len(s)
-    order = sorted(range(n), key=s.__getitem__)
+    by_symbol: list[list[int]] = [[] for _ in range(256)]
+    for i, b in enumerate(s):
+        by_symbol[b].append(i)
+    order = [i for own in by_symbol for i in own]
     place, group, size = [0] * n, [0] * n, [0] * (n + 1)
     start = 0
     for x, i in enumerate(order):
@@ -213,7 +216,7 @@ def shared_anchors(packed: DataFrame, buckets: int) -> DataFrame:
             x = {k: v[o[i : i + (1 << 20)]] for k, v in c.items()}
             yield from _ANCHOR.pack(_dealt(x["owner"], buckets), "owner", **x)
 
-    return packed.repartition(buckets, "bucket").mapInArrow(run, _ANCHOR.schema)
+    return packed.repartitionById(buckets, "bucket").mapInArrow(run, _ANCHOR.schema)
 
 
 def by_unit(packed: DataFrame, packing: Packing, buckets: int) -> DataFrame:
@@ -234,7 +237,7 @@ def by_unit(packed: DataFrame, packing: Packing, buckets: int) -> DataFrame:
             cols = [pa.array([c[k][a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()) for k in names]
             yield pa.record_batch([pa.array(c["owner"][ends[:-1]]), pa.array(c["twin"][ends[:-1]]), *cols], ["owner", "twin", *names])
 
-    return packed.repartition(buckets, "bucket").mapInArrow(run, "owner long, twin int, " + ", ".join(f"{k} binary" for k in names))
+    return packed.repartitionById(buckets, "bucket").mapInArrow(run, "owner long, twin int, " + ", ".join(f"{k} binary" for k in names))
 
 
 def surroundings(units: DataFrame, buckets: int) -> DataFrame:
@@ -367,7 +370,7 @@ def removals(packed: DataFrame, buckets: int) -> DataFrame:
             own = c["owner"][row[k]]
             yield from _RANGE.pack(_dealt(own, buckets), "owner", owner=own, twin=c["twin"][row[k]], start=(pos - high)[k], end=(pos - low + LENGTH)[k])
 
-    return packed.repartition(buckets, "bucket").mapInArrow(run, _RANGE.schema)
+    return packed.repartitionById(buckets, "bucket").mapInArrow(run, _RANGE.schema)
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -379,15 +382,20 @@ def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start[cut].tolist(), reach[np.append(cut[1:], len(reach)) - 1].tolist()))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """For each row of ``docs`` (doc_id, text): n_bytes, spans that go (start, end), and the kept bytes."""
+def dedup(docs: DataFrame, bucket_bytes: int = 16 << 20) -> DataFrame:
+    """For each row of ``docs`` (doc_id, text): n_bytes, spans that go (start, end), and the kept bytes.
+
+    Anchors are dealt to buckets, one to a task, each with the anchors of about ``bucket_bytes`` of different texts.
+    """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = only(docs, doc_id="long", text="string")
     rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5(F.col("text").cast("binary")))
-    slim = written(rows.where(F.octet_length("text") >= LENGTH).select("id", "digest"), "digests")
-    owners = slim.groupBy("digest").agg(F.min("id").alias("owner"))
+    slim = written(rows.where(F.octet_length("text") >= LENGTH).select("id", "digest", F.octet_length("text").cast("long").alias("size")), "digests")
+    owners = slim.groupBy("digest").agg(F.min("id").alias("owner"), F.max("size").alias("size"))
     owners = written(owners.withColumn("twin", F.row_number().over(Window.partitionBy("owner").orderBy("digest")) - 1), "owners")
+    different = owners.agg(F.sum("size").alias("n")).collect()[0].n or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-different // bucket_bytes))
+    owners = owners.drop("size")
     units = rows.join(owners.withColumnRenamed("owner", "id").withColumn("owner", F.col("id")), ["id", "digest"])
     shared = written(shared_anchors(find_anchors(units, buckets), buckets), "anchors")
     let_go(spark)
@@ -398,7 +406,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     let_go(spark)
 
     parts = by_unit(ranges, _RANGE, buckets).join(owners, ["owner", "twin"]).select(F.col("owner").alias("id"), "digest", "start", "end", F.lit(False).alias("whole"))
-    copies = slim.distinct().join(owners.select("digest", "owner"), "digest").where("id > owner").select("id", "digest")
+    copies = slim.select("id", "digest").distinct().join(owners.select("digest", "owner"), "digest").where("id > owner").select("id", "digest")
     none = F.lit(None).cast("binary")
     parts = parts.unionByName(copies.select("id", "digest", none.alias("start"), none.alias("end"), F.lit(True).alias("whole")))
 
