@@ -6,8 +6,8 @@ import re
 import numpy as np
 import pytest
 
-from tests.llm.test_ops import SCHEMA, WORDS, hard, items, none  # noqa: F401
-from tidemark.llm import decontam, langid, quality
+from tests.llm.test_ops import WORDS, hard, items, none  # noqa: F401
+from tidemark.llm import decontam, langid, mixture, pii, quality, simhash
 
 MASK = (1 << 64) - 1
 ODD = 0x9E3779B97F4A7C15
@@ -125,5 +125,9 @@ def test_filters_take_the_column_named_exactly(spark):
     """With columns that differ in case only, the one named ``text`` is judged."""
     docs = spark.createDataFrame([(1, WORDS, "x"), (2, "x", WORDS)], "doc_id long, a string, b string").toDF("doc_id", "TEXT", "text")
     assert [r[0] for r in decontam.clean(docs, items(spark, WORDS)).collect()] == [1]
+    said = spark.createDataFrame([(1, WORDS, "x y@z.zz", "s"), (2, WORDS, "x", "s")], "doc_id long, a string, b string, source string").toDF("doc_id", "TEXT", "text", "source")
+    assert {r[0]: r[1:3] for r in pii.redact(said).collect()} == {1: (WORDS, "x [EMAIL]"), 2: (WORDS, "x")}
+    assert sorted(r[0] for r in simhash.keep_one(said).collect()) == [1, 2]
+    assert {r[0]: r[4] for r in mixture.mixed(said).collect()} == {1: 2, 2: 1}
     with pytest.raises(ValueError):
         decontam.clean(docs.select("doc_id"), items(spark, WORDS))

@@ -27,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.llm.common import WORD, only
+from tidemark.llm.common import WORD, only, place_of
 from tidemark.sources.shared import written
 
 
@@ -93,9 +93,10 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
     The plan is joined back by id, source and a digest of the text; equal rows are told apart by number.
     """
-    at = {c.lower(): i for i, c in reversed(list(enumerate(docs.columns)))}
+    taken = {c.lower() for c in docs.columns}
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    keys = {"_id": F.col(f"c{at['doc_id']}").cast("long"), "_source": F.col(f"c{at['source']}").cast("string"), "_text": _digest(F.col(f"c{at['text']}").cast("string"))}
+    own = lambda name: F.col(f"c{place_of(docs, name)}")
+    keys = {"_id": own("doc_id").cast("long"), "_source": own("source").cast("string"), "_text": _digest(own("text").cast("string"))}
     plain = plain.withColumns(keys)
     plan = written(_planned(only(docs, doc_id="long", text="string", source="string"), **how), "mix")
     plan = plan.withColumnsRenamed({"doc_id": "_id", "source": "_source", "_digest": "_text"})
@@ -108,7 +109,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     meet = F.lit(True)
     for c in same:
         meet = meet & plain[c].eqNullSafe(plan[f"p{c}"])
-    names = [f"mix_{c}" if c in at else c for c in new]
+    names = [f"mix_{c}" if c in taken else c for c in new]
     return plain.join(plan, meet).select(*(f"c{i}" for i in range(len(docs.columns))), *new).toDF(*docs.columns, *names)
 
 

@@ -27,7 +27,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import bound, fold_of, only, pieces, running
+from tidemark.llm.common import bound, fold_of, only, pieces, place_of, running
 from tidemark.sources.shared import written
 
 KINDS = ("email", "ip", "card", "phone", "number", "secret")
@@ -267,13 +267,12 @@ def redact(docs: DataFrame, precision: float = 0.8) -> DataFrame:
     The texts are searched twice, once to learn from all candidates and once to replace, so no text is shuffled.
     """
     base, trees, least = learn(written(candidates(docs), "candidates"), precision)
-    named = {c.lower(): i for i, c in reversed(list(enumerate(docs.columns)))}
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    text = f"c{named['text']}"
+    text = f"c{place_of(docs, 'text')}"
     found = plain.withColumn("spans", spans_of(F.coalesce(F.col(text), F.lit(""))))
     found = found.withColumn("spans", chosen_spans(base, trees, least))
     out = found.withColumn(text, redacted(F.col(text), F.col("spans")))
-    if "n_chars" in named:
-        n = f"c{named['n_chars']}"
+    if "n_chars" in (c.lower() for c in docs.columns):
+        n = f"c{place_of(docs, 'n_chars')}"
         out = out.withColumn(n, F.when(F.size("spans") > 0, F.char_length(text)).otherwise(F.col(n)).cast(plain.schema[n].dataType))
     return out.drop("spans").toDF(*docs.columns)

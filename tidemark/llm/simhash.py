@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import only, slices, text_bytes, whole_groups
+from tidemark.llm.common import only, place_of, slices, text_bytes, whole_groups
 from tidemark.sources.shared import let_go, written
 
 
@@ -508,7 +508,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     different texts each is judged by its text; null, empty and wordless texts are one group; an empty table gives
     no rows.
     """
-    at = {c.lower(): i for i, c in reversed(list(enumerate(docs.columns)))}
+    at = {c: place_of(docs, c) for c in ("doc_id", "text")}
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     plain = plain.withColumns({"_id": _id(F.col(f"c{at['doc_id']}")), "_digest": _digest(F.col(f"c{at['text']}"))})
     fps, groups = near_groups(docs, shingle, similarity)
