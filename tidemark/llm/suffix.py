@@ -55,18 +55,23 @@ def suffix_array(s: bytes) -> list[int]:
             start = x
         place[i], group[i] = x, start
         size[start] += 1
-    prev = [-1] * n
+    prev = [-2] * n  # -1: no suffix of a smaller group before; -2: not known yet
     end = n - 1
     while end >= 0:
         g = group[order[end]]
         points: dict[int, int] = {}
-        for i in sorted(order[g : end + 1]) if g < end else (order[g],):
-            p = i - 1
+        for p in order[g : end + 1]:
+            met = []
             while p >= 0 and group[p] >= g:
-                p = prev[p]
-            prev[i] = p
-            if p >= 0:
-                points[p] = points.get(p, 0) + 1
+                if prev[p] == -2:  # a member of this group; those met on one way back have the same target
+                    met.append(p)
+                    p -= 1
+                else:
+                    p = prev[p]
+            for i in met:
+                prev[i] = p
+            if met and p >= 0:
+                points[p] = points.get(p, 0) + len(met)
         levels: dict[int, list[int]] = {}
         for p, k in points.items():
             levels.setdefault(k, []).append(p)
