@@ -229,6 +229,27 @@ def test_suffix_array():
         for a in (1, 2, 4, 200):
             s = bytes(1 + r.randrange(a) for _ in range(n)) + b"\0"
             assert suffix.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+    for s in (b"the quick brown fox " * 200 + b"\0", b"ab" * 2000 + b"a\0", b"b" * 3000 + b"\0", bytes(r.choice(b"ab") for _ in range(4000)) + b"\0"):
+        assert suffix.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+
+
+def test_whole_groups_are_bounded_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from tidemark.llm.common import whole_groups
+
+    r = random.Random(3)
+    key = sorted(r.randrange(60) for _ in range(900))
+    body = [bytes(r.randrange(2000)) for _ in key]
+    t = pa.table({"k": key, "n": list(range(900)), "b": body})
+    for rows, size in ((50, 1 << 30), (10_000, 30_000), (1, 1), (10_000, 1 << 30)):
+        got = list(whole_groups(iter([t.to_batches()[0].slice(0, 0), *t.to_batches(max_chunksize=400)]), ("k",), rows, size))
+        assert [x for g in got for x in g["n"].to_pylist()] == list(range(900))
+        held = [set(g["k"].to_pylist()) for g in got]
+        assert all(not a & b for i, a in enumerate(held) for b in held[i + 1 :])
+        most = max(sum(len(b) for b, x in zip(body, key) if x == k) for k in set(key))
+        if size == 30_000:
+            assert max(sum(map(len, g["b"].to_pylist())) for g in got) <= 2 * (size + most)
 
 
 def test_suffix_dedup_against_all_windows(spark, docs):

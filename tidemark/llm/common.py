@@ -62,8 +62,11 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
             yield batch.slice(start)
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
-    """The rows of ``batches``, sorted by integer ``keys``, in tables of about ``rows`` rows that never part rows with equal keys."""
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int, size: int = 32 << 20) -> Iterator[pa.Table]:
+    """The rows of ``batches``, sorted by integer ``keys``, in tables that never part rows with equal keys.
+
+    A table has about ``rows`` rows or ``size`` bytes, whichever is less, or one larger group.
+    """
 
     def cut(t: pa.Table) -> int:
         """Where the last group begins."""
@@ -75,18 +78,21 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows:
         return int(at[-1]) + 1 if len(at) else 0
 
     held: list[pa.RecordBatch] = []
-    n, wait = 0, rows
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        n += batch.num_rows
-        if n >= wait:
-            t = pa.Table.from_batches(held)
-            if at := cut(t):
-                yield t.slice(0, at)
-                held, n = t.slice(at).to_batches(), n - at
-            wait = max(rows, 2 * n)  # a group that is larger than a table is looked through again only when it has doubled
+    n, held_size, wait, wait_size = 0, 0, rows, size
+    for whole in batches:
+        step = max(1, whole.num_rows * size // max(whole.nbytes, 1))
+        for i in range(0, whole.num_rows, step):
+            batch = whole.slice(i, step)
+            held.append(batch)
+            n, held_size = n + batch.num_rows, held_size + batch.nbytes
+            if n >= wait or held_size >= wait_size:
+                t = pa.Table.from_batches(held)
+                if at := cut(t):
+                    yield t.slice(0, at)
+                    held, n = t.slice(at).to_batches(), n - at
+                    held_size = sum(b.nbytes for b in held)
+                # a group that is larger than a table is looked through again only when it has doubled
+                wait, wait_size = max(rows, 2 * n), max(size, 2 * held_size)
     if n:
         yield pa.Table.from_batches(held)
 
