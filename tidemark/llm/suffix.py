@@ -59,6 +59,20 @@ def suffix_array(s: bytes) -> list[int]:
     end = n - 1
     while end >= 0:
         g = group[order[end]]
+        if g == end:  # a group of one has one target, which moves alone
+            p = order[g] - 1
+            while p >= 0 and group[p] >= g:
+                p = prev[p]
+            prev[order[g]] = p
+            if p >= 0 and size[old := group[p]] > 1:
+                size[old] -= 1
+                last, x = old + size[old], place[p]
+                q = order[last]
+                order[x], place[q] = q, x
+                order[last], place[p] = p, last
+                size[last], group[p] = 1, last
+            end -= 1
+            continue
         points: dict[int, int] = {}
         for p in order[g : end + 1]:
             met = []
