@@ -130,3 +130,27 @@ def test_store_files_are_sorted_and_most_are_skipped(spark, tmp_path):
     assert len(files) >= 40 and holds <= 3
     plan = store.open_store(spark, path).where("asset_id = 3 and date >= 20240105")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(asset_id,3)" in plan and "GreaterThanOrEqual(date,20240105)" in plan
+
+
+def test_loads_are_checked_as_they_are_written(spark, small, tmp_path):
+    from tidemark.schema import FACT
+
+    path = str(tmp_path / "s")
+    twice = [(0, 20200131, 10, 1), (1, 20200131, 10, 2), (0, 20200131, 10, 3)]
+    with pytest.raises(store.DuplicateKey, match="20200131"):
+        store.write_store(facts(spark, twice), path)
+    assert not (tmp_path / "s").exists()
+    store.write_store(facts(spark, twice), path, on_duplicate="keep")
+    assert store.open_store(spark, path).count() == 3
+    loose = spark.createDataFrame([(0, 20200131, 10, 1.0), (1, 20200131, -1, 2.0)], "asset_id long, date long, timestamp long, value float")
+    unknown = spark.createDataFrame([(0, 20200131, None, 1.0)], loose.schema)
+    for bad, wrong in ((facts(spark, twice), store.DuplicateKey), (loose, ValueError), (unknown, ValueError)):
+        with pytest.raises(wrong):
+            store.write_store(bad, path)
+        assert store.open_store(spark, path).count() == 3 and len(list(tmp_path.iterdir())) == 1
+    with pytest.raises(ValueError):
+        store.write_store(small, path, on_duplicate="drop")
+    store.write_store(store.open_store(spark, path).where("asset_id = 1"), path)
+    assert [r.asset_id for r in store.open_store(spark, path).collect()] == [1]
+    plan = store._checking(small.repartitionByRange(3, "asset_id", "date").sortWithinPartitions(*FACT.names[:3]), "error")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
